@@ -2,13 +2,13 @@
 
 Candidates come from similarity-hash fingerprints. A message is normalised to
 words (layout, case, punctuation, prefixes, references and sign-off lines go).
-Each word belongs, by its hash, to one of SEGMENTS segments; the fingerprint has
-a 32-bit similarity hash of each segment beside a 64-bit one of the whole text.
-Changing a word touches two segments at most, so texts within three changed
-words agree in at least four of ten. The segments form three groups, so two of
-any four lie in one group: joining the splits on the codes of all pairs within a
-group (12 keys) finds every such text, unless both agreeing segments are empty. Joined
-pairs within the Hamming radius are verified word by word.
+Each word belongs, by its hash, to one of 14 segments; the fingerprint is the
+row of 4-bit similarity hashes of the segments. Changing a word touches two
+segments at most, so texts within three changed words agree in at least eight
+symbols, and in one of the seven pairs (0, 1), (2, 3) and so on: joining the
+splits on the codes of the pairs, and keeping what lies within the Hamming radius
+of six symbols, finds every such text, unless the agreeing pair has no word in
+either text. What is left is verified word by word.
 
 Equal normalised texts form one class first: fingerprints, joins and checks work
 on classes, and only the result is expanded to rows.
@@ -27,14 +27,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom.session import materialise
 
-SEGMENTS = 10
-GROUPS = ((0, 1, 2, 3), (4, 5, 6), (7, 8, 9))
-PAIRS = [(a, b) for g in GROUPS for i, a in enumerate(g) for b in g[i + 1 :]]
+SEGMENTS, BITS = 14, 4
+#: A class list up to this many rows is broadcast; a longer one is shuffled.
+SMALL = 200_000
 
 _TRAILER = re.compile(r"^[ \t>]*(?:[A-Za-z]+(?:-[A-Za-z]+)*-by|cc|refs?|references|fixes|closes|resolves|see[- ]also|issue|bug|ticket|change-id|reviewed-on|link|part-of)[ \t]*:.*$|\(?cherry[ -]picked from commit [0-9a-f]+\)?", re.I | re.M)
 _REFERENCE = re.compile(r"\(?\b(?:gh-|pr ?|issue ?)?#\d+\)?|\b[A-Z]{2,10}-\d+\b(?=\s*[:\]])")
@@ -44,11 +45,20 @@ _BUMP = re.compile(r"(\S+)\s+from\s+v?(\d\S*)\s+to\s+v?(\d\S*)", re.I)
 _LOOSE = re.compile(r"[\W_]+")
 
 
+_HINTS = ("by:", "by :", "cherry", "cc:", "ref", "fixes", "closes", "resolves", "see-also", "see also", "issue", "bug", "ticket", "change-id", "reviewed-on", "link", "part-of")
+
+
 def normal_words(text: str) -> list[str]:
     """The words that make a message what it is."""
-    t = unicodedata.normalize("NFKC", text)
-    t = _PREFIX.sub(" ", _REFERENCE.sub(" ", _TRAILER.sub(" ", t)))
-    return [w for w in (_LOOSE.sub("", x) for x in t.casefold().split()) if w]
+    t = text if text.isascii() else unicodedata.normalize("NFKC", text)
+    low = t.lower()
+    if any(h in low for h in _HINTS):
+        t = _TRAILER.sub(" ", t)
+    if "#" in t or "-" in t:
+        t = _REFERENCE.sub(" ", t)
+    t = _PREFIX.sub(" ", t)
+    words = t.casefold().split()
+    return [w for w in (x if x.isalnum() else _LOOSE.sub("", x) for x in words) if w]
 
 
 def reverts(text: str) -> int:
@@ -102,12 +112,6 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def _bits(sums: np.ndarray) -> np.ndarray:
-    """Signs of the last axis, packed into one number."""
-    weights = np.uint64(1) << np.arange(sums.shape[-1], dtype=np.uint64)
-    return ((sums > 0) * weights).sum(axis=-1, dtype=np.uint64)
-
-
 _HASHES: dict[str, int] = {}
 
 
@@ -121,20 +125,31 @@ def _hash(word: str) -> int:
 
 
 def fingerprints(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text: the 64-bit similarity hash, the codes of its segments and their numbers of words."""
+    """Of each text: the fingerprint, a 64-bit key of each pair of segments, and the pairs' numbers of words."""
     n = len(texts)
     h = np.fromiter((_hash(w) for ws in texts for w in ws), dtype=np.uint64)
     owner = np.repeat(np.arange(n), [len(ws) for ws in texts])
     cell = owner * SEGMENTS + ((h >> np.uint64(40)) % np.uint64(SEGMENTS)).astype(np.int64)
-    order = np.argsort(cell, kind="stable")
-    h, cell = h[order], cell[order]
-    sign = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int8) * 2 - 1
-    sums, counts = np.zeros((n * SEGMENTS, 64), dtype=np.int32), np.bincount(cell, minlength=n * SEGMENTS)
-    if len(h):
-        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-        sums[cell[starts]] = np.add.reduceat(sign, starts, axis=0, dtype=np.int32)
-    sums = sums.reshape(n, SEGMENTS, 64)
-    return _bits(sums.sum(axis=1)), _bits(sums[:, :, :32]), counts.reshape(n, SEGMENTS)
+    counts = np.bincount(cell, minlength=n * SEGMENTS)
+    symbols = np.zeros(n * SEGMENTS, dtype=np.uint64)
+    for b in range(BITS):  # the sign of each bit's sum over the segment's words
+        one = ((h >> np.uint64(b)) & np.uint64(1)).astype(np.int64) * 2 - 1
+        symbols |= (np.bincount(cell, one, n * SEGMENTS) > 0).astype(np.uint64) << np.uint64(b)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(n * SEGMENTS, dtype=np.uint64)  # tells equal segments apart from merely similar ones
+        np.add.at(sums, cell, h * np.uint64(0x9E3779B97F4A7C15) ^ (h >> np.uint64(29)))
+    symbols, sums, counts = symbols.reshape(n, SEGMENTS), sums.reshape(n, SEGMENTS // 2, 2), counts.reshape(n, SEGMENTS // 2, 2)
+    code = (symbols << (np.arange(SEGMENTS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=1, dtype=np.uint64)
+    keys = _mix(_mix(sums[:, :, 0], sums[:, :, 1]), np.arange(SEGMENTS // 2, dtype=np.uint64))
+    return code, keys, counts.sum(axis=2)
+
+
+def symbols_apart(a: Column, b: Column) -> Column:
+    """The Hamming distance of two fingerprints in symbols."""
+    x = a.bitwiseXOR(b)
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+    return F.bit_count(x.bitwiseAND(F.lit(0x0011111111111111)))
 
 
 def fingerprint_rows(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
@@ -146,11 +161,9 @@ def fingerprint_rows(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd
             words = [normal_words(t) for t in part["text"]]
             depth = [reverts(t) for t in part["text"]]
             slots = [bumps(t) for t in part["text"]]
-            whole, codes, counts = fingerprints(words)
-            keys = np.stack([_mix(_mix(codes[:, a], codes[:, b]), np.uint64(i) + np.zeros(len(part), np.uint64)) for i, (a, b) in enumerate(PAIRS)], axis=1)
-            filled = np.stack([counts[:, a] + counts[:, b] > 0 for a, b in PAIRS], axis=1)
+            code, keys, counts = fingerprints(words)
             out = []
-            for k, f, d, s in zip(keys, filled, depth, slots):
+            for k, f, d, s in zip(keys, counts > 0, depth, slots):
                 own = k[f]
                 own = np.concatenate([_mix(own, np.full(len(own), xxhash.xxh64_intdigest(f"{d} {x}"), np.uint64)) for x in (s or [""])])
                 out.append(own.view(np.int64))
@@ -158,26 +171,29 @@ def fingerprint_rows(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd
             yield pd.DataFrame({
                 "id": part["id"].to_numpy(), "side": part["side"].to_numpy(),
                 "cls": np.array([xxhash.xxh64_intdigest(f"{d}|{'|'.join(s)}|{t}") for t, d, s in zip(text, depth, slots)], dtype=np.uint64).view(np.int64),
-                "n": np.array([len(w) for w in words], dtype=np.int32), "normal": text, "code": whole.view(np.int64), "keys": out,
+                "n": np.array([len(w) for w in words], dtype=np.int32), "normal": text, "code": code.view(np.int64), "keys": out,
             })
 
 
-def text_overlaps(df: DataFrame, row_id: str, text: str, split: str, least: int = 12, most: int = 3, share: float = 0.25, radius: int = 24) -> DataFrame:
+def text_overlaps(df: DataFrame, row_id: str, text: str, split: str, least: int = 12, most: int = 3, share: float = 0.25) -> DataFrame:
     """(id_a, id_b): rows of different sides, training and evaluation, whose texts differ in at most `most` words."""
     known = F.col(split).isin("train", "validation", "test") & F.col(text).isNotNull()
     rows = df.filter(known).select(F.col(row_id).cast("bigint").alias("id"), F.col(text).alias("text"), F.when(F.col(split) == "train", 1).otherwise(2).cast("int").alias("side"))
     made = rows.mapInPandas(lambda it: fingerprint_rows(it, least), "id bigint, side int, cls bigint, n int, normal string, code bigint, keys array<bigint>")
     made = materialise(made, "fingerprints")
     classes = made.groupBy("cls").agg(F.bit_or("side").alias("sides"), F.first("n").alias("n"), F.first("code").alias("code"), F.first("keys").alias("keys"))
-    keyed = classes.select("cls", "sides", "n", "code", F.explode("keys").alias("key"))
+    keyed = classes.select("cls", "sides", F.col("n").cast("smallint").alias("n"), "code", F.explode("keys").alias("key"))
     left = keyed.select("key", *[F.col(c).alias(f"{c}_a") for c in ("cls", "sides", "n", "code")])
     right = keyed.select("key", *[F.col(c).alias(f"{c}_b") for c in ("cls", "sides", "n", "code")])
     met = left.filter(F.col("sides_a").bitwiseAND(1) != 0).join(right.filter(F.col("sides_b").bitwiseAND(2) != 0), "key")
-    near = (F.col("cls_a") != F.col("cls_b")) & (F.abs(F.col("n_a") - F.col("n_b")) <= most) & (F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b"))) <= radius)
-    pairs = met.filter(near).select("cls_a", "cls_b").distinct()
-    texts = made.groupBy("cls").agg(F.first("normal").alias("normal"))
+    near = (F.col("cls_a") != F.col("cls_b")) & (F.abs(F.col("n_a") - F.col("n_b")) <= most) & (symbols_apart(F.col("code_a"), F.col("code_b")) <= 2 * most)
+    pairs = materialise(met.filter(near).select("cls_a", "cls_b").distinct(), "candidates")
+    wanted = pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
+    if pairs.count() * 2 <= SMALL:
+        wanted = F.broadcast(wanted)  # at most SMALL rows
+    texts = made.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("normal").alias("normal"))
     pairs = pairs.join(texts.select(F.col("cls").alias("cls_a"), F.col("normal").alias("text_a")), "cls_a").join(texts.select(F.col("cls").alias("cls_b"), F.col("normal").alias("text_b")), "cls_b")
-    same = F.pandas_udf(lambda a, b: pd.Series([same_text(x, y, most, share) for x, y in zip(a, b)], dtype=bool), "boolean")
+    same = F.pandas_udf(lambda a, b: pd.Series([same_text(x, y, most, share) for x, y in zip(a, b)], dtype=bool), T.BooleanType())
     links = pairs.filter(same("text_a", "text_b")).select("cls_a", "cls_b")
     links = links.unionByName(classes.filter(F.col("sides") == 3).select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b")))
     train = made.filter("side = 1").select(F.col("id").alias("id_train"), F.col("cls").alias("cls_a"))
