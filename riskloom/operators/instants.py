@@ -291,8 +291,9 @@ def instant_of(text: Column, zone: Column, weekday: Column) -> Column:
 
 
 def normalise_instants(df: DataFrame, text: str, zone: str, weekday: str, prefix: str = "utc_") -> DataFrame:
-    """`df` with utc_epoch_us, utc_instant (timestamp without zone, UTC), utc_hour_of_day and utc_day_of_week of the author's wall clock."""
+    """`df` (its columns of these names replaced) with utc_epoch_us, utc_instant (timestamp without zone, UTC), utc_hour_of_day and utc_day_of_week of the author's wall clock."""
     got = df.withColumn("__instant", instant_of(F.col(text), F.col(zone), F.col(weekday)))
     us = F.col("__instant.epoch_us")
     instant = F.timestamp_micros(us).cast("timestamp_ntz")
-    return got.select(*df.columns, us.alias(f"{prefix}epoch_us"), instant.alias(f"{prefix}instant"), F.col("__instant.hour_of_day").alias(f"{prefix}hour_of_day"), F.col("__instant.day_of_week").alias(f"{prefix}day_of_week"))
+    kept = [c for c in df.columns if c not in {prefix + x for x in ("epoch_us", "instant", "hour_of_day", "day_of_week")}]
+    return got.select(*kept, us.alias(f"{prefix}epoch_us"), instant.alias(f"{prefix}instant"), F.col("__instant.hour_of_day").alias(f"{prefix}hour_of_day"), F.col("__instant.day_of_week").alias(f"{prefix}day_of_week"))

@@ -22,20 +22,16 @@ SALT = "__salt"
 
 
 def heavy_keys(df: DataFrame, key: str, min_share: float) -> DataFrame:
-    """(key, n, share) of the non-null keys with at least `min_share` of all rows.
+    """(heavy_key, rows, share) of the non-null keys with at least `min_share` of all rows.
 
     At most 1 / min_share rows, whatever the input: shares sum to one at most.
     Partial counts leave each task before the shuffle, so this pass has no hot task.
     """
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
     total = df.agg(F.count(F.lit(1)).alias("__total"))
-    return (
-        counts.filter(F.col(key).isNotNull())
-        .crossJoin(F.broadcast(total))  # one row
-        .withColumn("share", F.col("n") / F.col("__total"))
-        .filter(F.col("share") >= min_share)
-        .select(key, "n", "share")
-    )
+    share = F.col("__n") / F.col("__total")
+    known = counts.filter("__key is not null").crossJoin(F.broadcast(total))  # one row
+    return known.filter(share >= min_share).select(F.col("__key").alias("heavy_key"), F.col("__n").alias("rows"), share.alias("share"))
 
 
 def with_salt(df: DataFrame, key: str, salts: int = 32, heavy_share: float = 0.01, salt_on: Sequence[str] | None = None) -> DataFrame:
@@ -44,7 +40,7 @@ def with_salt(df: DataFrame, key: str, salts: int = 32, heavy_share: float = 0.0
     The list of heavy keys is broadcast; it has at most 1 / heavy_share rows.
     """
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in (salt_on or df.columns)]), F.lit(salts)).cast("int")
-    heavy = heavy_keys(df, key, heavy_share).select(F.col(key).alias("__heavy"))
+    heavy = heavy_keys(df, key, heavy_share).select(F.col("heavy_key").alias("__heavy"))
     joined = df.join(F.broadcast(heavy), df[key] == F.col("__heavy"), "left")
     is_hot = F.col("__heavy").isNotNull() | F.col(key).isNull()
     return joined.withColumn(SALT, F.when(is_hot, spread).otherwise(F.lit(0))).drop("__heavy")
@@ -61,27 +57,66 @@ def salted_count(df: DataFrame, key: str, salt_on: Sequence[str], salts: int = 3
     return salted_aggregate(df.select(key, *[c for c in salt_on if c != key]), key, {"n0": F.count(F.lit(1))}, {"n": F.sum("n0")}, salts, heavy_share, salt_on)
 
 
+def quantile_slices(df: DataFrame, column: Column, slices: int = 64) -> Column:
+    """The number of the slice a value lies in, cut at about equal counts; nulls lie in slice 0. At most `slices` cuts come to the driver."""
+    value = column.cast("double")
+    cuts = sorted(set(df.select(value.alias("v")).approxQuantile("v", [i / slices for i in range(1, slices)], 0.002)))
+    return F.coalesce(sum(((value >= c).cast("int") for c in cuts), F.lit(0)), F.lit(0))
+
+
+def sliced_running(df: DataFrame, keys: Sequence[str], slice_no: Column, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds running sums within `keys` in the given order, the row included, without a task over a whole group.
+
+    `slice_no` has to rise with the order. A window runs within (keys, slice)
+    only; the sums of a group's earlier slices, one row per slice, are added.
+    Null keys are a group. Without keys the whole table is the group.
+    """
+    names = list(sums)
+    work = df.withColumn("__slice", slice_no)
+    for n in names:
+        work = work.withColumn(f"__v_{n}", sums[n])
+    before = Window.partitionBy(*[f"__k_{k}" for k in keys]).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    per = work.groupBy(*keys, "__slice").agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in names])
+    per = per.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__slice").alias("__at"), *[f"__s_{n}" for n in names])
+    per = per.select(*[f"__k_{k}" for k in keys], "__at", *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__b_{n}") for n in names])
+    own = Window.partitionBy(*keys, "__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    for n in names:
+        work = work.withColumn(f"__r_{n}", F.sum(f"__v_{n}").over(own))
+    same = F.col("__slice") == F.col("__at")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    done = work.join(per if keys else F.broadcast(per), same)  # without keys: one row per slice
+    return done.select(*[F.col(c) for c in df.columns if c not in names], *[(F.coalesce(F.col(f"__r_{n}"), F.lit(0)) + F.col(f"__b_{n}")).alias(n) for n in names])
+
+
 def earlier_rows(df: DataFrame, key: str, order: str, tie: str, out: str, slices: int = 64) -> DataFrame:
     """Adds the number of earlier rows of the same key, in the order (order, tie).
 
-    A window over a whole key would be one task per key. Here a key's rows are
-    cut at quantiles of `order` over the table; each slice is numbered on its
-    own and raised by the summed counts of the key's earlier slices. A row with
-    a null key gets null. `tie` has to be unique within equal values of `order`.
-    Rows with a null `order` come first.
+    A row with a null key gets null. `tie` has to be unique within equal values
+    of `order`. Rows with a null `order` come first.
     """
-    cuts = sorted({float(x) for x in df.approxQuantile(order, [i / slices for i in range(1, slices)], 0.002)})
-    slice_of = F.coalesce(sum((F.when(F.col(order) >= c, 1).otherwise(0) for c in cuts), F.lit(0)), F.lit(0)).alias("__slice")
     keyed = df.filter(F.col(key).isNotNull())
-    before = Window.partitionBy(key).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    counts = (
-        keyed.groupBy(key, slice_of)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-        .select(F.col(key).alias("__key"), F.col("__slice").alias("__at"), "__before")
-    )
-    own = Window.partitionBy(key, "__slice").orderBy(F.col(order).asc_nulls_first(), F.col(tie))
-    numbered = keyed.withColumn("__slice", slice_of).withColumn("__own", F.row_number().over(own) - 1)
-    done = numbered.join(counts, (F.col(key) == F.col("__key")) & (F.col("__slice") == F.col("__at"))).withColumn(out, F.col("__own") + F.col("__before"))
+    done = sliced_running(keyed, [key], quantile_slices(keyed, F.col(order), slices), [F.col(order).asc_nulls_first(), F.col(tie)], {out: F.lit(1).cast("bigint")})
     rest = df.filter(F.col(key).isNull()).withColumn(out, F.lit(None).cast("bigint"))
-    return done.select(*df.columns, F.col(out).cast("bigint").alias(out)).unionByName(rest)
+    kept = [c for c in df.columns if c != out]
+    return done.withColumn(out, F.col(out) - 1).select(*kept, out).unionByName(rest.select(*kept, out))
+
+
+def next_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, slices: int = 64) -> DataFrame:
+    """Adds `value` of the next row of the same keys, in the order of `order` (its first column has to be a timestamp or number).
+
+    Works in slices of the first order column: `lead` within (keys, slice), and
+    the last row of a slice takes the first value of the group's next slice.
+    """
+    first = F.col(order[0])
+    number = F.unix_micros(first.cast("timestamp")) if dict(df.dtypes)[order[0]].startswith("timestamp") else first
+    work = df.withColumn("__slice", quantile_slices(df, number, slices))
+    heads = work.groupBy(*keys, "__slice").agg(F.min(F.struct(*order, F.col(value).alias("__value")))["__value"].alias("__head"))
+    later = Window.partitionBy(*keys).orderBy("__slice")
+    heads = heads.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__slice").alias("__at"), F.lead("__head").over(later).alias("__next_head"))
+    own = Window.partitionBy(*keys, "__slice").orderBy(*order)
+    same = F.col("__slice") == F.col("__at")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    led = work.withColumn("__lead", F.lead(value).over(own)).withColumn("__last", F.lead(F.lit(True)).over(own).isNull())
+    return led.join(heads, same).withColumn(out, F.when(F.col("__last"), F.col("__next_head")).otherwise(F.col("__lead"))).select(*[c for c in df.columns if c != out], out)

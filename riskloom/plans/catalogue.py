@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskloom.plans import problems
+from riskloom.plans import inventory, problems
 
-QUERIES = problems.QUERIES
-ORACLE_SQL = problems.ORACLE_SQL
+QUERIES = problems.QUERIES | inventory.QUERIES
+ORACLE_SQL = problems.ORACLE_SQL | inventory.ORACLE_SQL
