@@ -116,7 +116,7 @@ def plan_mix(sizes: dict[str, float], targets: dict[str, tuple[float, int]], lea
 
 def mix_sources(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: list[str] | None = None, seed: int = 42, least_total: float = 0.5, total: float | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
     """The mix: `keep` (default: all columns) with n_tokens, copy_no (from 1) and shuffle_key, in the order of shuffle_key."""
-    keep = list(keep or documents.columns)
+    keep = [c for c in keep or documents.columns if c not in ("mix_source", "n_tokens", "copy_no", "shuffle_key")]
     listed = targets.groupBy(source_key(F.col("source")).alias("s")).agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap"))
     sized = documents.filter(F.col(text).isNotNull()).withColumn("__source", source_key(F.col(source)))
     # The targets are one row per source; a table of documents never has more sources in the mix than are listed.

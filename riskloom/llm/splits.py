@@ -13,7 +13,8 @@ sizes and label shares, and the best result over all chains is kept.
 
 Defined results: a row without a unit and without a commit is a component of its
 own, by its id; null labels count for sizes only; an empty table gives an empty
-result; extra columns stay, and the result column `split` replaces one of that name.
+result; extra columns stay, and the results `split` and `component` replace columns of
+those names.
 """
 
 from __future__ import annotations
@@ -103,7 +104,8 @@ def with_components(df: DataFrame, row_id: str, unit: Column, record: Column) ->
     per_record = base.filter("__record is not null").groupBy("__record", "__node").agg(F.lit(1).alias("__one"))
     first = per_record.groupBy("__record").agg(F.min("__node").alias("a"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("__record", "a")
     roots = connected(per_record.join(first, "__record").select("a", F.col("__node").alias("b")))
-    return base.join(roots, base["__node"] == roots["node"], "left").withColumn("__component", F.coalesce("component", "__node")).drop("node", "component", "__node", "__record")
+    roots = roots.select(F.col("node").alias("__root_of"), F.col("component").alias("__root"))
+    return base.join(roots, base["__node"] == roots["__root_of"], "left").withColumn("__component", F.coalesce("__root", "__node")).drop("__root_of", "__root", "__node", "__record")
 
 
 def deviation(sizes: np.ndarray, ones: np.ndarray, shares: np.ndarray, total: float, label: float) -> float:
@@ -175,7 +177,7 @@ def assign_splits(df: DataFrame, row_id: str, unit: Column, record: Column, labe
     # Rows of a heavy component take the split from the small table, so that no hot component is shuffled.
     heavy = by_component.join(placed.filter(F.col("n") >= HEAVY_SHARE * max(total, 1)).select("__component"), "__component", "left_semi")
     light = by_component.join(heavy.select("__component"), "__component", "left_anti")
-    kept = [c for c in rows.columns if c not in ("split", "__component")]
+    kept = [c for c in rows.columns if c not in ("split", "component", "__component")]
     hot = rows.join(F.broadcast(heavy.withColumnRenamed("split", "__split")), "__component")
     cold = rows.join(F.broadcast(heavy.select("__component")), "__component", "left_anti").join(light.withColumnRenamed("split", "__split"), "__component")
     return hot.unionByName(cold).select(*kept, F.col("__split").alias("split"), F.col("__component").alias("component"))
@@ -192,7 +194,8 @@ def variant_pairs(assigned: DataFrame, author: str, key: str) -> DataFrame:
 def keyed_authors(df: DataFrame, author: str, out: str = "author_key") -> DataFrame:
     """Adds the author key. Keys are made per distinct value; the join is salted-free, as a hot value meets one row that AQE may split."""
     keys = author_keys(df, author).select(F.col("author").alias("__author"), F.col("author_key").alias(out))
-    return df.join(keys, F.col(author) == F.col("__author"), "left").drop("__author")
+    own = df.drop(out)
+    return own.join(keys, own[author] == keys["__author"], "left").drop("__author")
 
 
 def split_report(assigned: DataFrame, label: str) -> DataFrame:
