@@ -94,7 +94,7 @@ class ItemIndex:
             for term, tf in Counter(w.tolist()).items():
                 weight[term, k] = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean))
             weight[:, k] /= self.least_score(w, weight[:, k])
-        self.weight = weight.reshape(len(weight), -1, BLOCK)
+        self.weight = weight.reshape(len(weight), weight.shape[1] // BLOCK, BLOCK)
         self.maxima = np.ascontiguousarray(self.weight.max(axis=2))
         starts: dict[int, list[tuple[int, int]]] = {}
         for k, w in enumerate(self.words):

@@ -34,7 +34,7 @@ def bucketed(value: Column, error: float) -> Column:
         return value
     ratio = (1 + error) / (1 - error)
     k = F.ceil(F.log(F.greatest(value, F.lit(1e-300))) / math.log(ratio))
-    return F.when(value == 0, F.lit(0.0)).otherwise(2 * F.pow(F.lit(ratio), k) / (ratio + 1))
+    return F.when(value == 0, F.lit(0.0)).when(value.isNotNull(), 2 * F.pow(F.lit(ratio), k) / (ratio + 1))
 
 
 def frequencies(df: DataFrame, period: Column, groups: Sequence[str], metrics: Sequence[str], error: float = 0.0) -> DataFrame:

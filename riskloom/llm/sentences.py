@@ -176,7 +176,8 @@ def _dot_ends(block: str, start: int, a: int, e: int, nxt: int, lex: Lexicon) ->
         if w in INNER:
             return False
     if len(word) == 1 and word.isalpha():
-        return False if after and not after[0].isdigit() or re.match(r"\s+\S{1,3}\.", block[a + 1 : a + 7]) else opens
+        initial = block[a - 1].isupper() and after and not after[0].isdigit()
+        return not initial and not re.match(r"\s+[^\W\d_]{1,3}\.", block[a + 1 : a + 7])
     return True
 
 

@@ -38,7 +38,7 @@ BUCKETS = 400
 
 _NOTE = re.compile(r"<[^<>]*>|\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}|（[^（）]*）|\S+[@＠]\S+")
 _WORDS = re.compile(r"[^\W_]+")
-_CODES = re.compile(r"[Â-ô][-¿]")
+_CODES = re.compile("[\u00c2-\u00f4][\u0080-\uffff]")
 
 
 def name_key(name: str) -> str:
