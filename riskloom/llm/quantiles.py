@@ -40,8 +40,8 @@ def bucketed(value: Column, error: float) -> Column:
 def frequencies(df: DataFrame, period: Column, groups: Sequence[str], metrics: Sequence[str], error: float = 0.0) -> DataFrame:
     """(period, groups, metric, value, n). Counts are summed in each task before the shuffle, so a hot group or value is one row per task."""
     pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("m")
-    flat = df.select(period.alias("period"), *groups, pairs).select("period", *groups, "m.metric", bucketed(F.col("m.value"), error).alias("value"))
-    flat = flat.filter("value >= 0 and not isnan(value)")
+    flat = df.select(period.alias("period"), *groups, pairs).filter("m.value >= 0 and not isnan(m.value)")
+    flat = flat.select("period", *groups, "m.metric", bucketed(F.col("m.value"), error).alias("value"))
     return flat.groupBy("period", *groups, "metric", "value").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -167,7 +167,7 @@ def _dot_ends(block: str, start: int, a: int, e: int, nxt: int, lex: Lexicon) ->
     # Parts of an abbreviation with blanks: the letters before count as one with it.
     joined = word
     if len(word) <= 3:
-        head = re.search(r"(?<!\S)[(\"'“„«]?([^\W\d_]{1,3})\.\s+$", block[max(start, m.start() - 8) : m.start()])
+        head = re.search(r"(?<!\S)[(\"'“„«]?([^\W\d_]{1,3})\.(?:[\s>#*-]|//)+$", block[max(start, m.start() - 14) : m.start()])
         if head:
             joined = f"{head[1].lower()}.{word}"
     for w in (joined, word):
@@ -177,7 +177,9 @@ def _dot_ends(block: str, start: int, a: int, e: int, nxt: int, lex: Lexicon) ->
             return False
     if len(word) == 1 and word.isalpha():
         initial = block[a - 1].isupper() and after and not after[0].isdigit()
-        return not initial and not re.match(r"\s+[^\W\d_]{1,3}\.", block[a + 1 : a + 7])
+        tail = re.match(r"([^\W\d_]{1,3})(?=\.|$|[\s,;)])", block[nxt : nxt + 8])
+        pair = f"{word}.{tail[1].lower()}" if tail else ""
+        return not initial and not (pair in INNER or pair in OUTER or tail and len(tail[1]) == 1 and tail[1].islower())
     return True
 
 
