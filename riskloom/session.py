@@ -27,6 +27,19 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """`df` over all cores, for steps that take longer than moving their rows.
+
+    Only an input of fewer partitions than cores, such as a single small file, is
+    moved; by a hash of a key, so that a task run again gets the same rows.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(x in plan for x in ("Aggregate", "Join", "Window", "Sort", "Repartition", "Limit")):
+        return df  # its partitions come from a shuffle; counting them would run it
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Writes `df` as Parquet into the shared folder and reads it back.
 
