@@ -32,6 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.session import spread
+
 STRETCH, EDITS = 30, 2
 PASSAGE, STEP = 64, 32  # any stretch of 32 words lies within one passage
 BLOCK = 16
@@ -102,6 +104,7 @@ class ItemIndex:
                 starts.setdefault(int(g), []).append((k, j))
         self.starts = starts
         self.known = np.array(sorted(starts), dtype=np.uint64)
+        self.listed = [w.tolist() for w in self.words]
 
     @staticmethod
     def least_score(words: np.ndarray, weight: np.ndarray) -> float:
@@ -160,21 +163,22 @@ class ItemIndex:
             by_doc.setdefault(d, []).append(k)
         out = []
         for d, items in by_doc.items():
-            w, wanted, best = docs[d], set(items), {}
-            g = grams(w)
-            hits = np.flatnonzero(np.isin(g, self.known))
+            wanted, best, w = set(items), {}, docs[d].tolist()
+            g = grams(docs[d])
+            at = np.searchsorted(self.known, g)
+            hits = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] == g) if len(self.known) else []
             done: dict[tuple[int, int], int] = {}
             for j in hits:
                 for k, i in self.starts[int(g[j])]:
                     if k in wanted and done.get((k, int(j) - i), -1) < j:
-                        n, upto = stretch(self.words[k], w, i, int(j))
+                        n, upto = stretch(self.listed[k], w, i, int(j))
                         done[(k, int(j) - i)] = upto
                         best[k] = max(best.get(k, 0), n)
             out += [(d, k, n) for k, n in best.items() if n >= STRETCH]
         return out
 
 
-GRAM = 9  # two edits leave a run of (30 - 2) / 3, so at least ten, equal words
+GRAM = 10  # two edits leave three runs of 28 equal words, so one of ten at least
 
 
 def grams(words: np.ndarray) -> np.ndarray:
@@ -190,11 +194,13 @@ def grams(words: np.ndarray) -> np.ndarray:
     return h
 
 
-def _reach(a: np.ndarray, b: np.ndarray, i: int, j: int, step: int) -> list[int]:
+def _reach(a: list[int], b: list[int], i: int, j: int, step: int) -> list[int]:
     """The farthest item word reached from (i, j) in a direction with 0 .. EDITS edits, each followed by an equal word."""
 
+    n, m = len(a), len(b)
+
     def slide(i: int, j: int) -> tuple[int, int]:
-        while 0 <= i < len(a) and 0 <= j < len(b) and a[i] == b[j]:
+        while 0 <= i < n and 0 <= j < m and a[i] == b[j]:
             i, j = i + step, j + step
         return i, j
 
@@ -211,7 +217,7 @@ def _reach(a: np.ndarray, b: np.ndarray, i: int, j: int, step: int) -> list[int]
     return best
 
 
-def stretch(a: np.ndarray, b: np.ndarray, i: int, j: int) -> tuple[int, int]:
+def stretch(a: list[int], b: list[int], i: int, j: int) -> tuple[int, int]:
     """Words of item a in the longest stretch around the equal words a[i], b[j], and how far b's equal run goes."""
     right, left = _reach(a, b, i, j, 1), _reach(a, b, i - 1, j - 1, -1)
     return max(left[e] + right[EDITS - e] for e in range(EDITS + 1)), j + right[0] - 1
@@ -221,7 +227,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     """(doc_id, item_id, words): documents that contain a stretch of an item, and its length in words."""
     listed = [(r[0], r[1]) for r in items.select(item_id, item_text).filter(F.col(item_text).isNotNull()).orderBy(item_id).toLocalIterator()]
     spark = documents.sparkSession
-    source = documents.filter(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    source = spread(documents.filter(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")), "doc_id")
     found = None
     for at in range(0, max(1, len(listed)), MOST_ITEMS):
         index = spark.sparkContext.broadcast(ItemIndex(listed[at : at + MOST_ITEMS]))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.session import materialise
+from riskloom.session import materialise, spread
 
 #: Where the public tokenizers' vocabulary files are.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -121,7 +121,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id"
     sized = documents.filter(F.col(text).isNotNull()).withColumn("__source", source_key(F.col(source)))
     # The targets are one row per source; a table of documents never has more sources in the mix than are listed.
     sized = sized.join(F.broadcast(listed.select(F.col("s").alias("__s"))), F.col("__source") == F.col("__s"), "left_semi")
-    sized = sized.withColumn("__tokens", count_tokens(F.col(text), tokenizer)).withColumn("__u", uniform(seed, F.col("__source"), F.col(doc_id)))
+    sized = spread(sized.select(*{*keep, doc_id, text}, "__source"), doc_id).withColumn("__tokens", count_tokens(F.col(text), tokenizer)).withColumn("__u", uniform(seed, F.col("__source"), F.col(doc_id)))
     sized = materialise(sized.filter("__tokens > 0").select(*keep, F.col(doc_id).alias("__id"), "__source", "__tokens", "__u"), "tokens")
     bins = sized.groupBy("__source", F.floor(F.col("__u") * BINS).cast("int").alias("bin")).agg(F.sum("__tokens").alias("n"))
     by_source: dict[str, np.ndarray] = {}

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.session import materialise
+from riskloom.session import materialise, spread
 
 SEGMENTS, BITS = 14, 4
 #: A class list up to this many rows is broadcast; a longer one is shuffled.
@@ -179,7 +179,7 @@ def text_overlaps(df: DataFrame, row_id: str, text: str, split: str, least: int
     """(id_a, id_b): rows of different sides, training and evaluation, whose texts differ in at most `most` words."""
     known = F.col(split).isin("train", "validation", "test") & F.col(text).isNotNull()
     rows = df.filter(known).select(F.col(row_id).cast("bigint").alias("id"), F.col(text).alias("text"), F.when(F.col(split) == "train", 1).otherwise(2).cast("int").alias("side"))
-    made = rows.mapInPandas(lambda it: fingerprint_rows(it, least), "id bigint, side int, cls bigint, n int, normal string, code bigint, keys array<bigint>")
+    made = spread(rows, "id").mapInPandas(lambda it: fingerprint_rows(it, least), "id bigint, side int, cls bigint, n int, normal string, code bigint, keys array<bigint>")
     made = materialise(made, "fingerprints")
     classes = made.groupBy("cls").agg(F.bit_or("side").alias("sides"), F.first("n").alias("n"), F.first("code").alias("code"), F.first("keys").alias("keys"))
     keyed = classes.select("cls", "sides", F.col("n").cast("smallint").alias("n"), "code", F.explode("keys").alias("key"))

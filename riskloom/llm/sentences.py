@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.session import spread
+
 #: A word opens sentences if at least this share of its occurrences opens a block or follows a certain end.
 OPENS = 0.02
 #: Kept are words with at least this share of all block openings, and dictionary words with this share of all: 1 / share bounds each list.
@@ -344,7 +346,7 @@ def learn_lexicon(texts: DataFrame) -> Lexicon:
 
 def sentence_table(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, start_pos, end_pos): one row per sentence."""
-    source = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    source = spread(df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")), "doc_id")
     lex = learn_lexicon(source.select("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
