@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.columns import ratio_or_zero
 from riskloom.operators.skew import quantile_slices, sliced_running
+from riskloom.session import scalars
 
 
 def class_balance(df: DataFrame, label: str, groups: tuple[str, ...] = ()) -> DataFrame:
@@ -29,10 +30,10 @@ def per_listed_group(df: DataFrame, label: str, group: str, listed: DataFrame) -
 
 
 def value_shares(df: DataFrame, column: str) -> DataFrame:
-    """(value, share) of the non-null values. The window runs over one row per value in a single sum, not over the table."""
+    """(value, share) of the non-null values."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select("value", (F.col("n") / F.col("total")).alias("share"))  # one row
+    total = scalars(df, n=F.count(column))["n"]
+    return counts.select("value", (F.col("n") / total).alias("share"))
 
 
 def classification(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -65,9 +66,9 @@ def latency_summary(df: DataFrame, value: str, share: float = 0.95) -> DataFrame
     counts = known.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
     run = sliced_running(counts, [], quantile_slices(counts, F.col("v")), [F.col("v")], {"upto": F.col("c")})
     whole = known.agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.min("v").alias("least"), F.max("v").alias("most"))
-    place = F.least(F.floor(F.lit(share) * F.col("n")), F.col("n") - 1)
-    at = run.crossJoin(F.broadcast(whole.select("n"))).agg(F.min(F.when(F.col("upto") > place, F.col("v"))).alias("quantile"))  # one row
-    return whole.crossJoin(F.broadcast(at))  # one row
+    n = scalars(known, n=F.count(F.lit(1)))["n"]
+    place = F.least(F.floor(F.lit(share) * n), n - 1)
+    return whole.withColumn("quantile", scalars(run.filter(F.col("upto") > place), v=F.min("v"))["v"])
 
 
 def best_by(df: DataFrame, score: str, order: str, groups: tuple[str, ...] = ()) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.metrics import best_by
+from riskloom.session import scalars
 
 
 def numbered(versions: DataFrame) -> DataFrame:
@@ -25,15 +26,15 @@ def latest(versions: DataFrame) -> DataFrame:
 def decide(versions: DataFrame, candidate: str) -> DataFrame:
     """(version, candidate_f1, current_f1, promote): promoted if nothing is in Production or the score is strictly higher; a missing score is 0."""
     new = versions.filter(F.col("version") == candidate).select("version", F.coalesce("f1", F.lit(0.0)).alias("candidate_f1"))
-    now = production(versions).agg(F.count(F.lit(1)).alias("k"), F.max(F.coalesce("f1", F.lit(0.0))).alias("current_f1"))
-    return new.crossJoin(F.broadcast(now)).select("version", "candidate_f1", "current_f1", ((F.col("k") == 0) | (F.col("candidate_f1") > F.col("current_f1"))).alias("promote"))  # one row
+    now = scalars(production(versions), k=F.count(F.lit(1)), f1=F.max(F.coalesce("f1", F.lit(0.0))))
+    return new.select("version", "candidate_f1", now["f1"].alias("current_f1"), ((now["k"] == 0) | (F.col("candidate_f1") > now["f1"])).alias("promote"))
 
 
 def promoted(versions: DataFrame, candidate: str) -> DataFrame:
     """The registry after the decision: the candidate in Production and former Production versions archived, or unchanged."""
-    choice = decide(versions, candidate).select("promote")
-    stage = F.when(F.col("promote") & (F.col("version") == candidate), "Production").when(F.col("promote") & (F.col("stage") == "Production"), "Archived").otherwise(F.col("stage"))
-    return versions.crossJoin(F.broadcast(choice)).withColumn("stage", stage).drop("promote")  # one row
+    promote = F.coalesce(scalars(decide(versions, candidate), p=F.bool_or("promote"))["p"], F.lit(False))
+    stage = F.when(promote & (F.col("version") == candidate), "Production").when(promote & (F.col("stage") == "Production"), "Archived").otherwise(F.col("stage"))
+    return versions.withColumn("stage", stage)
 
 
 def with_metrics(versions: DataFrame, runs: DataFrame) -> DataFrame:

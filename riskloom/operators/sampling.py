@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.skew import quantile_slices, sliced_running
+from riskloom.session import scalars
 
 
 def seeded(key: str, seed: int) -> Column:
@@ -36,20 +37,19 @@ def stratified_split(df: DataFrame, key: str, label: str, test_share: float = 0.
 
 def stratified_sample(df: DataFrame, key: str, label: str, size: int, seed: int = 42) -> DataFrame:
     """About `size` rows with the table's share of label 1: int(size * share) of them, the rest others, as far as there are any."""
-    share = df.filter(F.col(label).isNotNull()).agg(F.avg((F.col(label) == 1).cast("double")).alias("__share"))
     known = df.filter(F.col(label).isNotNull())
-    ones = F.floor(F.lit(float(size)) * F.col("__share"))
+    ones = F.floor(F.lit(float(size)) * scalars(known, share=F.avg((F.col(label) == 1).cast("double")))["share"])
     quota = F.when(F.col(label) == 1, ones).otherwise(F.lit(size) - ones)
-    return _ranked(known, [label], key, seed).crossJoin(F.broadcast(share)).filter(F.col("__rank") <= quota).select(*df.columns)  # one row
+    return _ranked(known, [label], key, seed).filter(F.col("__rank") <= quota).select(*df.columns)
 
 
 def chronological_split(df: DataFrame, date: str, tie: str, share: float = 0.8) -> DataFrame:
     """Adds `part`: the first int(share * n) rows in order of date are `reference`, the others `current`."""
-    total = df.agg(F.count(F.lit(1)).alias("__total"))
+    total = scalars(df, n=F.count(F.lit(1)))["n"]
     number = F.unix_micros(F.col(date).cast("timestamp"))
     ranked = sliced_running(df, [], quantile_slices(df, number), [F.col(date).asc_nulls_first(), F.col(tie)], {"__rank": F.lit(1).cast("bigint")})
-    part = F.when(F.col("__rank") <= F.floor(F.lit(share) * F.col("__total")), "reference").otherwise("current")
-    return ranked.crossJoin(F.broadcast(total)).withColumn("part", part).select(*[c for c in df.columns if c != "part"], "part")  # one row
+    part = F.when(F.col("__rank") <= F.floor(F.lit(share) * total), "reference").otherwise("current")
+    return ranked.withColumn("part", part).select(*[c for c in df.columns if c != "part"], "part")
 
 
 def fold(df: DataFrame, group: str, held_out: str) -> tuple[DataFrame, DataFrame]:

@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.session import scalars
+
 #: Name of the salt column while an aggregation runs.
 SALT = "__salt"
 
@@ -28,10 +30,8 @@ def heavy_keys(df: DataFrame, key: str, min_share: float) -> DataFrame:
     Partial counts leave each task before the shuffle, so this pass has no hot task.
     """
     counts = df.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n"))
-    total = df.agg(F.count(F.lit(1)).alias("__total"))
-    share = F.col("__n") / F.col("__total")
-    known = counts.filter("__key is not null").crossJoin(F.broadcast(total))  # one row
-    return known.filter(share >= min_share).select(F.col("__key").alias("heavy_key"), F.col("__n").alias("rows"), share.alias("share"))
+    share = F.col("__n") / scalars(df, n=F.count(F.lit(1)))["n"]
+    return counts.filter("__key is not null").filter(share >= min_share).select(F.col("__key").alias("heavy_key"), F.col("__n").alias("rows"), share.alias("share"))
 
 
 def with_salt(df: DataFrame, key: str, salts: int = 32, heavy_share: float = 0.01, salt_on: Sequence[str] | None = None) -> DataFrame:

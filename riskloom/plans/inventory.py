@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import columns as C
 from riskloom.operators import featurestore, history, issues, metrics, models, quality, registry, sampling, timeseries
 from riskloom.schemas import FEATURES
-from riskloom.session import materialise, table
+from riskloom.session import materialise, scalars, table
 from riskloom.sources import readers, sinks
 from riskloom.streaming import streams
 
@@ -499,8 +499,8 @@ def spl2_stratified_sample(s, d):
 def spl3_leave_one_out(s, d):
     """Sizes of the folds that hold out one repository each, without making the folds."""
     per = commits(s, d).groupBy("source_repo").agg(F.count(F.lit(1)).alias("test_rows"))
-    total = per.agg(F.sum("test_rows").alias("t"))
-    return per.filter("source_repo is not null").crossJoin(F.broadcast(total)).select("source_repo", "test_rows", (F.col("t") - F.col("test_rows")).alias("train_rows"))
+    total = scalars(commits(s, d), n=F.count(F.lit(1)))["n"]
+    return per.filter("source_repo is not null").select("source_repo", "test_rows", (total - F.col("test_rows")).alias("train_rows"))
 
 
 # --- joins, sets, feature store, registry --------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.instants import normalise_instants
 from riskloom.operators.skew import earlier_rows, salted_aggregate, salted_count
-from riskloom.session import table
+from riskloom.session import scalars, table
 
 HEAVY = 0.04
 
@@ -18,8 +18,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     for name, key, row in (("commit_features", "author", "row_id"), ("issue", "repo", "id")):
         rows = table(spark, d, name).select(key, row)
         counts = salted_count(rows, key, [row])
-        total = rows.agg(F.count(F.lit(1)).alias("all_rows"))
-        part = counts.crossJoin(F.broadcast(total)).filter(F.col(key).isNotNull() & (F.col("n") >= HEAVY * F.col("all_rows")))  # one row
+        part = counts.filter(F.col(key).isNotNull() & (F.col("n") >= HEAVY * scalars(rows, n=F.count(F.lit(1)))["n"]))
         part = part.select(F.lit(name).alias("table_name"), F.col(key).alias("key_value"))
         out = part if out is None else out.unionByName(part)
     return out

@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scalars(df: DataFrame, **aggregates: Column) -> Column:
+    """Aggregates of a whole table as a struct column for use in other tables: a scalar subquery, not a join."""
+    return df.agg(F.struct(*[c.alias(n) for n, c in aggregates.items()]).alias("s")).scalar()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder (`spark.checkpoint.dir`). Only a local session may fall back to a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
