@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.session import materialise, spread
+from riskloom.session import materialise, scalars, spread
 
 #: Where the public tokenizers' vocabulary files are.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -118,10 +118,11 @@ def mix_sources(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id"
     """The mix: `keep` (default: all columns) with n_tokens, copy_no (from 1) and shuffle_key, in the order of shuffle_key."""
     keep = [c for c in keep or documents.columns if c not in ("mix_source", "n_tokens", "copy_no", "shuffle_key")]
     listed = targets.groupBy(source_key(F.col("source")).alias("s")).agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap"))
-    sized = documents.filter(F.col(text).isNotNull()).withColumn("__source", source_key(F.col(source)))
+    used = documents.filter(F.col(text).isNotNull()).select(*dict.fromkeys([*keep, doc_id, text, source]))
+    sized = spread(used, doc_id).withColumn("__source", source_key(F.col(source)))
     # The targets are one row per source; a table of documents never has more sources in the mix than are listed.
     sized = sized.join(F.broadcast(listed.select(F.col("s").alias("__s"))), F.col("__source") == F.col("__s"), "left_semi")
-    sized = spread(sized.select(*{*keep, doc_id, text}, "__source"), doc_id).withColumn("__tokens", count_tokens(F.col(text), tokenizer)).withColumn("__u", uniform(seed, F.col("__source"), F.col(doc_id)))
+    sized = sized.withColumn("__tokens", count_tokens(F.col(text), tokenizer)).withColumn("__u", uniform(seed, F.col("__source"), F.col(doc_id)))
     sized = materialise(sized.filter("__tokens > 0").select(*keep, F.col(doc_id).alias("__id"), "__source", "__tokens", "__u"), "tokens")
     bins = sized.groupBy("__source", F.floor(F.col("__u") * BINS).cast("int").alias("bin")).agg(F.sum("__tokens").alias("n"))
     by_source: dict[str, np.ndarray] = {}
@@ -141,8 +142,8 @@ def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """Per listed source: target and actual share of tokens, documents, copies and the most copies of one document."""
     per_doc = mixed.groupBy("mix_source", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t"))
     per = per_doc.groupBy("mix_source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("copies"), F.max("n").alias("most_copies"), F.sum("t").alias("tokens"))
-    all_tokens = per.agg(F.sum("tokens").alias("all_tokens"))
+    all_tokens = scalars(mixed, t=F.sum("n_tokens"))["t"]
     listed = targets.select(source_key(F.col("source")).alias("source"), "target_share", "max_repeats")
-    joined = listed.join(per, listed["source"] == per["mix_source"], "left").crossJoin(F.broadcast(all_tokens))  # one row
+    joined = listed.join(per, listed["source"] == per["mix_source"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return joined.select("source", "target_share", "max_repeats", zero("documents"), zero("copies"), zero("most_copies"), zero("tokens"), (F.coalesce("tokens", F.lit(0)) / F.col("all_tokens")).alias("actual_share"))
+    return joined.select("source", "target_share", "max_repeats", zero("documents"), zero("copies"), zero("most_copies"), zero("tokens"), (F.coalesce("tokens", F.lit(0)) / all_tokens).alias("actual_share"))

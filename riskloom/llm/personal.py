@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.session import materialise, scalars, spread
+
 TYPES = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDER = {t: f"[{t.upper()}]" for t in TYPES}
 
@@ -102,14 +104,14 @@ def disclosures(texts: DataFrame) -> DataFrame:
     disclosure: of the term anywhere in a name; as_opening: where it opens one.
     """
     counts = texts.mapInPandas(term_counts, "term string, n bigint, opens bigint, ends bigint").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n", "opens", "ends")])
-    total = counts.agg(F.sum("n").alias("all_n"), F.sum("opens").alias("all_opens"))
-    person = F.col("all_opens") / F.col("all_n")
+    counts = materialise(counts, "terms")  # used twice
+    total = scalars(counts, n=F.sum("n"), opens=F.sum("opens"))
+    person = total["opens"] / total["n"]
     share = lambda k: F.when(k > 0, F.log2((k / F.col("n")) / person) / -F.log2(person)).otherwise(F.lit(0.0))
-    named = F.col("opens") >= F.greatest(F.lit(2), LEAST_NAME * F.col("all_opens"))
-    often = F.col("n") >= F.greatest(F.lit(2), LEAST_WORD * F.col("all_n"))
+    named = F.col("opens") >= F.greatest(F.lit(2), LEAST_NAME * total["opens"])
+    often = F.col("n") >= F.greatest(F.lit(2), LEAST_WORD * total["n"])
     return (
-        counts.crossJoin(F.broadcast(total))  # one row
-        .filter(named | often)
+        counts.filter(named | often)
         .select("term", "n", "opens", named.alias("named"), share(F.col("opens") + F.col("ends")).alias("disclosure"), share(F.col("opens")).alias("as_opening"))
     )
 
@@ -188,7 +190,7 @@ def personal_types(texts: DataFrame, keys: list[str], text: str = "text") -> Dat
             out["pii_type"] = np.array([x for k in kinds for x in k], dtype=object)
             yield out
 
-    return texts.select(*keys, text).mapInPandas(run, schema)
+    return spread(texts.select(*keys, text), keys[-1]).mapInPandas(run, schema)
 
 
 def sanitised(df: DataFrame, text: str, out: str = "sanitised_text") -> DataFrame:

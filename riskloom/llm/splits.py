@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskloom.session import materialise
+from riskloom.session import materialise, scalars
 
 SPLITS = ("train", "validation", "test")
 HEAVY_SHARE = 0.002
@@ -201,6 +201,7 @@ def keyed_authors(df: DataFrame, author: str, out: str = "author_key") -> DataFr
 def split_report(assigned: DataFrame, label: str) -> DataFrame:
     """Per split: rows, share of rows and share of rows with the label."""
     per = assigned.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("ones"))
-    return per.crossJoin(F.broadcast(per.agg(F.sum("n").alias("total")))).select("split", "n", (F.col("n") / F.col("total")).alias("row_share"), (F.col("ones") / F.col("n")).alias("label_share"))
+    total = scalars(assigned, n=F.count(F.lit(1)))["n"]
+    return per.select("split", "n", (F.col("n") / total).alias("row_share"), (F.col("ones") / F.col("n")).alias("label_share"))
 
 
