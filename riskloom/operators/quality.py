@@ -64,6 +64,12 @@ def request_violations(df: DataFrame) -> DataFrame:
     return df.withColumn("violations", violations({c: F.col(c).between(*limits[c]) if c in limits else F.col(c) >= 0 for c in FEATURES}))
 
 
+def response_violations(df: DataFrame) -> DataFrame:
+    """Adds `violations`: names of response fields that are missing, null or out of range."""
+    rules = {"risk_score": F.col("risk_score").cast("double").between(0, 1), "risk_label": F.col("risk_label").isin("low", "medium", "high")}
+    return df.withColumn("violations", violations(rules))
+
+
 def key_leakage(train: DataFrame, test: DataFrame, key: str) -> DataFrame:
     """Keys in both parts."""
     return train.select(key).filter(F.col(key).isNotNull()).join(test.select(F.col(key).alias("__k")), F.col(key) == F.col("__k"), "left_semi").distinct()

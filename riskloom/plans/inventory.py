@@ -624,6 +624,77 @@ def dq11_slow_requests(s, d):
     return table(s, d, "events").filter("value > 100").select("event_id", "value")
 
 
+@query("select request_id, array_to_string(list_filter([case when score is null or score not between 0 and 1 then 'risk_score' end, case when label is null or label not in ('low', 'medium', 'high') then 'risk_label' end], lambda x: x is not null), ',') as violations from (select id as request_id, risk_score / 50::double as score, case when risk_score < 30 then 'low' when risk_score < 60 then 'medium' else 'odd' end as label from issue)")
+def dq9_response_schema(s, d):
+    df = issue(s, d).select(F.col("id").alias("request_id"), (F.col("risk_score") / 50).cast("double").alias("risk_score"), F.when(F.col("risk_score") < 30, "low").when(F.col("risk_score") < 60, "medium").otherwise("odd").alias("risk_label"))
+    return quality.response_violations(df).select("request_id", F.array_join("violations", ",").alias("violations"))
+
+
+@query()
+def dq10_sanity_order(s, d):
+    """Whether a large, late change scores above a small one of a known author."""
+    from riskloom.schemas import REQUEST
+
+    train, _ = _parts(s, d)
+    rows = s.createDataFrame([(5, 2, 1, 1, 500, 14, 1, 25, 0), (500, 300, 25, 10, 0, 2, 6, 150, 1)], REQUEST)
+    got = models.scored(models.fit(train, "forest"), rows)
+    return got.agg(F.min_by("risk_score", "lines_added").alias("safe"), F.max_by("risk_score", "lines_added").alias("risky")).withColumn("ordered", F.col("risky") > F.col("safe"))
+
+
+@query("select row_id, lines_added, (lines_added - avg(lines_added) over ()) / nullif(stddev_samp(lines_added) over (), 0) as scaled from commit_features where lines_added is not null")
+def mth5_standardised(s, d):
+    """Mean 0, sample deviation 1; the two numbers are one row."""
+    df = commits(s, d).select("row_id", "lines_added").filter("lines_added is not null")
+    m = scalars(df, mean=F.avg("lines_added"), sd=F.stddev_samp("lines_added"))
+    return df.withColumn("scaled", F.try_divide(F.col("lines_added") - m["mean"], m["sd"]))
+
+
+@query("select source_repo, coalesce(sum(risky)::double / nullif(sum(case when risky is null then 0 else lines_deleted end), 0), 0) as ratio from commit_features group by source_repo")
+def mth4_guarded_division(s, d):
+    known = F.when(F.col("risky").isNull(), 0).otherwise(F.col("lines_deleted"))
+    return commits(s, d).groupBy("source_repo").agg(C.ratio_or_zero(F.sum("risky"), F.sum(known)).alias("ratio"))
+
+
+@query("select row_id from commit_features where risky = 1")
+def flt3_class_filter(s, d):
+    return commits(s, d).filter("risky = 1").select("row_id")
+
+
+@query("select version, f1 from model_versions where stage = 'Production'")
+def flt8_stage_filter(s, d):
+    return table(s, d, "model_versions").filter("stage = 'Production'").select("version", "f1")
+
+
+@query("select row_id from commit_features where source_repo = 'tinworks/quillgate'")
+def flt9_repo_subset(s, d):
+    return commits(s, d).filter("source_repo = 'tinworks/quillgate'").select("row_id")
+
+
+@query("select hash from (select distinct hash from commit_features where hash is not null) order by hash limit 5")
+def srt3_sample_keys(s, d):
+    """Five keys for a demonstration; the limit is the feature."""
+    return commits(s, d).select("hash").filter("hash is not null").distinct().orderBy("hash").limit(5)
+
+
+@query("select hash from (select distinct hash from commit_features where data_split = 'train' and hash in (select hash from commit_features where data_split = 'test')) order by hash limit 10")
+def srt7_leaked_keys_message(s, d):
+    """The first ten leaked keys of a message; the limit is the feature."""
+    df = commits(s, d)
+    return quality.key_leakage(df.filter("data_split = 'train'"), df.filter("data_split = 'test'"), "hash").orderBy("hash").limit(10)
+
+
+@query("select id, created_at - interval 730 days as earlier, strftime(created_at, '%b %-d, %Y %H:%M') as shown, coalesce(strftime(nullif(updated_at, created_at), '%b %-d'), '-') as axis from issue")
+def dt7_shifted_and_shown(s, d):
+    back = F.col("created_at") - F.expr("interval 730 days")
+    axis = F.coalesce(F.date_format(F.nullif("updated_at", "created_at"), "MMM d"), F.lit("-"))
+    return issue(s, d).select("id", back.alias("earlier"), F.date_format("created_at", "MMM d, yyyy HH:mm").alias("shown"), axis.alias("axis"))
+
+
+@query("select i.id, c.row_id from issue i join commit_features c on i.commit_hash = c.hash")
+def jn3_key_lookup(s, d):
+    return issue(s, d).select("id", "commit_hash").join(commits(s, d).select("row_id", "hash"), F.col("commit_hash") == F.col("hash")).select("id", "row_id")
+
+
 # --- models ----------------------------------------------------------------------
 
 
