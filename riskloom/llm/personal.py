@@ -7,7 +7,8 @@ opens a name beyond doubt (a sign-off line, a mail header, a user field). The
 pointwise mutual information of term and person, as a share of the information
 in "a person", is the term's disclosure. Terms above the threshold are given
 names; frequent terms below it are ordinary words; a given name beside a word
-that is not ordinary is a name.
+that is not ordinary is a name. In capitals or in small letters throughout, the
+word beside it must not be one that the corpus often has in small letters.
 
 Defined results: null or empty text stays as it is and has no finding; whole
 texts are read; repeated rows each count; extra columns stay.
@@ -15,6 +16,7 @@ texts are read; repeated rows each count; extra columns stay.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -34,6 +36,8 @@ PLACEHOLDER = {t: f"[{t.upper()}]" for t in TYPES}
 DISCLOSURE = 0.5
 #: A given name opens at least this share of the certain names, an ordinary word is at least this share of the capitalised words: 1 / share bounds both lists.
 LEAST_NAME, LEAST_WORD = 1e-5, 1e-4
+#: A common word is at least this share of the words in small letters, and seen OFTEN times.
+LEAST_COMMON, OFTEN = 2e-6, 20
 
 _CAP = r"[^\W\d_a-zß-öø-ÿ][^\W\d_]*(?:['’-][^\W\d_]+)*"
 _AT = r"(?:[@＠]|\s?[\[({<]\s?at\s?[\])}>]\s?|&#64;)"
@@ -72,59 +76,67 @@ _WORD = re.compile(_CAP)
 _TERM = re.compile(rf"{_CAP}(?!\w|\.\s?\d)")
 #: Where a name stands beyond doubt: sign-off lines and other places where a mail address, a signature or a field of that meaning is beside it.
 _CERTAIN = re.compile(rf"(?:-by:\s+|\"(?:user|name|author|owner)\":\s*\"|(?:^|\n)(?:Regards|Best|Cheers|Thanks),\s*\n|\b(?:owner|user|author|name)=)(?P<a>{_CAP})[\s_](?P<c>{_CAP})|(?<!\w)(?P<b>{_CAP})\s(?P<d>{_CAP})(?=\s*<[^\s<>]+@|;[^\s;]+@)")
+_LOWER = re.compile(r"(?<![\w.@+'’-])[^\W\d_A-Z]{2,}(?![\w@+'’-])")
+_BESIDE = re.compile(r"\s+([^\W\d_]{3,})(?![\w@])")
 _NEXT = re.compile(rf"(?:\s|_)+((?:(?:van|von|de|da|del|la|bin|al)\s)?{_CAP})")
 _BEFORE = re.compile(rf"(?<!\w)({_CAP}),\s$")
 _AFTER_PRODUCT = re.compile(r"\s+(?:release|milestone|theme|edition)\b")
 
 
 def term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(text) to (term, n, opens, ends): capitalised terms and how often they open and end a certain name, summed over a task."""
-    n, opens, ends = Counter(), Counter(), Counter()
+    """(text) to (small, term, n, opens, ends), summed over a task: capitalised terms and how often they open and end a certain name; words in small letters."""
+    n, opens, ends, small = Counter(), Counter(), Counter(), Counter()
 
     def out() -> pd.DataFrame:
-        return pd.DataFrame({"term": pd.Series(list(n), dtype=object)} | {k: pd.Series([c[t] for t in n], dtype="int64") for k, c in (("n", n), ("opens", opens), ("ends", ends))})
+        terms = [*n, *small]
+        counts = {"n": [*n.values(), *small.values()], "opens": [*(opens[t] for t in n), *[0] * len(small)], "ends": [*(ends[t] for t in n), *[0] * len(small)]}
+        return pd.DataFrame({"small": np.array([False] * len(n) + [True] * len(small), dtype=bool), "term": pd.Series(terms, dtype=object)} | {k: pd.Series(c, dtype="int64") for k, c in counts.items()})
 
     for pdf in batches:
         for t in pdf["text"]:
             if t:
                 n.update(_TERM.findall(t.replace("_", " ")))
+                small.update(_LOWER.findall(t))
                 if "by:" in t or "=" in t or "@" in t or '"' in t or ",\n" in t:
                     for m in _CERTAIN.finditer(t):
                         opens[m["a"] or m["b"]] += 1
                         ends[m["c"] or m["d"]] += 1
-        if len(n) > 200_000:
+        if len(n) + len(small) > 300_000:
             yield out()
-            n, opens, ends = Counter(), Counter(), Counter()
+            for c in (n, opens, ends, small):
+                c.clear()
     yield out()
 
 
 def disclosures(texts: DataFrame) -> DataFrame:
-    """Terms frequent enough to judge, from a table with a column `text`: (term, n, opens, named, disclosure, as_opening).
+    """Terms frequent enough to judge, from a table with a column `text`: (small, term, n, opens, named, disclosure, as_opening).
 
     disclosure: of the term anywhere in a name; as_opening: where it opens one.
     """
-    counts = texts.mapInPandas(term_counts, "term string, n bigint, opens bigint, ends bigint").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n", "opens", "ends")])
+    counts = texts.mapInPandas(term_counts, "small boolean, term string, n bigint, opens bigint, ends bigint").groupBy("small", "term").agg(*[F.sum(c).alias(c) for c in ("n", "opens", "ends")])
     counts = materialise(counts, "terms")  # used twice
-    total = scalars(counts, n=F.sum("n"), opens=F.sum("opens"))
+    total = scalars(counts, n=F.sum(F.when(~F.col("small"), F.col("n"))), small=F.sum(F.when(F.col("small"), F.col("n"))), opens=F.sum("opens"))
     person = total["opens"] / total["n"]
     share = lambda k: F.when(k > 0, F.log2((k / F.col("n")) / person) / -F.log2(person)).otherwise(F.lit(0.0))
     named = F.col("opens") >= F.greatest(F.lit(2), LEAST_NAME * total["opens"])
-    often = F.col("n") >= F.greatest(F.lit(2), LEAST_WORD * total["n"])
+    often = F.when(F.col("small"), F.col("n") >= F.greatest(F.lit(OFTEN), LEAST_COMMON * total["small"])).otherwise(F.col("n") >= F.greatest(F.lit(2), LEAST_WORD * total["n"]))
     return (
         counts.filter(named | often)
-        .select("term", "n", "opens", named.alias("named"), share(F.col("opens") + F.col("ends")).alias("disclosure"), share(F.col("opens")).alias("as_opening"))
+        .select("small", "term", "n", "opens", named.alias("named"), share(F.col("opens") + F.col("ends")).alias("disclosure"), share(F.col("opens")).alias("as_opening"))
     )
 
 
-def judged_terms(texts: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
-    """Given names and ordinary words: at most 1 / LEAST_NAME and 1 / LEAST_WORD terms, whatever the corpus."""
-    given, ordinary = [], []
-    for r in disclosures(texts).select("term", (F.col("named") & (F.col("as_opening") >= DISCLOSURE)).alias("given"), (F.col("disclosure") < DISCLOSURE).alias("ordinary")).toLocalIterator():
-        if r.given:
+def judged_terms(texts: DataFrame) -> tuple[frozenset[str], frozenset[str], frozenset[str]]:
+    """Given names, ordinary and common words: at most 1 / LEAST_NAME, 1 / LEAST_WORD and 1 / LEAST_COMMON terms, whatever the corpus."""
+    given, ordinary, common = [], [], []
+    for r in disclosures(texts).select("small", "term", (F.col("named") & (F.col("as_opening") >= DISCLOSURE)).alias("given"), (F.col("disclosure") < DISCLOSURE).alias("ordinary")).toLocalIterator():
+        if r.small:
+            common.append(r.term)
+        elif r.given:
             given.append(r.term)
         elif r.ordinary:
             ordinary.append(r.term)
-    return frozenset(given), frozenset(ordinary)
+    return frozenset(given), frozenset(ordinary), frozenset(common)
 
 
 def _remote(text: str, m: re.Match) -> bool:
@@ -133,7 +145,7 @@ def _remote(text: str, m: re.Match) -> bool:
     return (rest[:1] == ":" and rest[1:2].strip() != "" and m.group().count(" ") == 0 and re.match(r":[\w~.-]*[/\d]", text[m.end() : m.end() + 80]) is not None) or text[max(0, m.start() - 3) : m.start()] == "://"
 
 
-def find_personal(text: str, given: frozenset[str], ordinary: frozenset[str]) -> list[tuple[int, int, str]]:
+def find_personal(text: str, given: frozenset[str], ordinary: frozenset[str], common: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
     """Spans (start, end, type) in order, none in another."""
     out: list[tuple[int, int, str]] = []
     low = text.lower()
@@ -157,17 +169,34 @@ def find_personal(text: str, given: frozenset[str], ordinary: frozenset[str]) ->
                 out.append((*m.span(), "phone"))
     plain = text.replace("_", " ") if "_" in text else text
     for m in _WORD.finditer(plain):
-        if m.group() not in given or not free(*m.span()):
-            continue
+        w = m.group()
         s, e = m.span()
+        if len(w) > 1 and w.isupper() and w.capitalize() in given and free(s, e):
+            other = lambda x: len(x) > 2 and x.isupper() and x.lower() not in common and x.capitalize() not in ordinary and x not in ordinary
+            if (f := _BESIDE.match(text, e)) and other(f[1]) and free(s, f.end()):
+                out.append((s, f.end(), "name"))
+            elif (b := _BEFORE.search(plain, max(0, s - 60), s)) and other(b[1]) and free(b.start(1), e):
+                out.append((b.start(1), e, "name"))
+            continue
+        if w not in given or not free(s, e):
+            continue
         if (f := _NEXT.match(text, e)) and f[1].split()[-1] not in ordinary and len(f[1]) > 1 and free(s, f.end()):
             if not _AFTER_PRODUCT.match(text, f.end()):
                 out.append((s, f.end(), "name"))
         elif (b := _BEFORE.search(plain, max(0, s - 60), s)) and b[1] not in ordinary and len(b[1]) > 1 and free(b.start(1), e):
             out.append((b.start(1), e, "name"))
+    if not _small(given).isdisjoint(text.split()):
+        for m in _LOWER.finditer(text):
+            if m.group() in _small(given) and (f := _BESIDE.match(text, m.end())) and f[1].islower() and f[1] not in common and free(m.start(), f.end()):
+                out.append((m.start(), f.end(), "name"))
     return sorted(out)
 
 
+@functools.lru_cache(maxsize=4)
+def _small(given: frozenset[str]) -> frozenset[str]:
+    return frozenset(g.lower() for g in given)
+
+
 def sanitise(text: str, spans: list[tuple[int, int, str]]) -> str:
     """The text with each span replaced by its placeholder."""
     parts, at = [], 0
@@ -179,12 +208,12 @@ def sanitise(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def personal_types(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, pii_type): one row per type that a row's text holds."""
-    given, ordinary = judged_terms(texts.select(F.col(text).alias("text")))
+    terms = judged_terms(texts.select(F.col(text).alias("text")))
     schema = T.StructType([texts.schema[k] for k in keys] + [T.StructField("pii_type", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            kinds = [sorted({k for _, _, k in find_personal(t, given, ordinary)}) if t else [] for t in pdf[text]]
+            kinds = [sorted({k for _, _, k in find_personal(t, *terms)}) if t else [] for t in pdf[text]]
             at = np.repeat(np.arange(len(pdf)), [len(k) for k in kinds])
             out = pdf[keys].iloc[at].copy()
             out["pii_type"] = np.array([x for k in kinds for x in k], dtype=object)
@@ -195,10 +224,10 @@ def personal_types(texts: DataFrame, keys: list[str], text: str = "text") -> Dat
 
 def sanitised(df: DataFrame, text: str, out: str = "sanitised_text") -> DataFrame:
     """`df` with the text in which each finding is a placeholder."""
-    given, ordinary = judged_terms(df.select(F.col(text).alias("text")))
+    terms = judged_terms(df.select(F.col(text).alias("text")))
 
     @F.pandas_udf(T.StringType())
     def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([sanitise(t, find_personal(t, given, ordinary)) if t else t for t in texts], dtype=object)
+        return pd.Series([sanitise(t, find_personal(t, *terms)) if t else t for t in texts], dtype=object)
 
     return df.withColumn(out, clean(F.col(text)))

@@ -28,6 +28,11 @@ def test_forms(text, want):
     assert kinds(text) == want
 
 
+@pytest.mark.parametrize("text, want", [("thanks to lena fajazer for", set()), ("thanks to hanna fajazer for", {"name"}), ("thanks to HANNA FAJAZER.", {"name"}), ("by FAJAZER, HANNA", {"name"}), ("as hanna really said", set()), ("HANNA REALLY", set()), ("hanna.fajazer said", set()), ("user hanna fajazer@x.example", {"email"})])
+def test_names_in_one_case(text, want):
+    assert {k for _, _, k in find_personal(text, GIVEN, ORDINARY, frozenset({"really", "said"}))} == want
+
+
 def test_the_rest_of_the_text_stays():
     text = "Ask Hanna Tajevos (hanna@x.example), or 020 7946 0604.\nDone"
     assert sanitise(text, find_personal(text, GIVEN, ORDINARY)) == "Ask [NAME] ([EMAIL]), or [PHONE].\nDone"
@@ -44,7 +49,7 @@ def test_names_are_learned_from_the_corpus(spark):
     certain = [f"Signed-off-by: {g} Family{i} <a@b.example>" for i in range(6) for g in ("Hanna", "Jan")]
     plain = ["On Jan. 4 the gate Failed. The Silver Heron release."] * 40 + ["The Jan Kubaso report. Thanks to Hanna Tajevos.", None, ""]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(certain + plain)], "id long, text string, sanitised_text string")
-    given, ordinary = judged_terms(df.select("text"))
+    given, ordinary, _ = judged_terms(df.select("text"))
     assert given == {"Hanna", "Jan"} and {"The", "On", "Silver"} <= ordinary
     found = {(r.id, r.pii_type) for r in personal_types(df, ["id"]).collect()}
     assert (52, "name") in found and (12, "name") not in found and len([f for f in found if f[1] == "email"]) == 12
