@@ -37,6 +37,8 @@ from riskloom.session import spread
 STRETCH, EDITS = 30, 2
 PASSAGE, STEP = 64, 32  # any stretch of 32 words lies within one passage
 BLOCK = 16
+#: Passages that are evaluated together.
+CHUNK = 3000
 K1, B = 1.2, 0.75
 MOST_ITEMS = 20_000
 
@@ -91,13 +93,24 @@ class ItemIndex:
         for w in self.words:
             df[np.unique(w)] += 1
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        weight = np.zeros((len(self.vocabulary), -(-max(n, 1) // BLOCK) * BLOCK), dtype=np.float32)
+        term, item, weight = [], [], []
         for k, w in enumerate(self.words):
-            for term, tf in Counter(w.tolist()).items():
-                weight[term, k] = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean))
-            weight[:, k] /= self.least_score(w, weight[:, k])
-        self.weight = weight.reshape(len(weight), weight.shape[1] // BLOCK, BLOCK)
-        self.maxima = np.ascontiguousarray(self.weight.max(axis=2))
+            own, tf = np.unique(w, return_counts=True)
+            value = idf[own] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean))
+            term.append(own)
+            item.append(np.full(len(own), k))
+            weight.append(value / self.least_score(w, dict(zip(own.tolist(), value.tolist()))))
+        term, item, weight = (np.concatenate(x) if x else np.zeros(0, dtype=kind) for x, kind in ((term, np.int64), (item, np.int64), (weight, float)))
+        # Postings by term and item; those of one term in one block stand together.
+        order = np.lexsort((item, term))
+        term, self.item, self.weight = term[order], item[order], weight[order]
+        part = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (self.item[1:] // BLOCK != self.item[:-1] // BLOCK)]) if len(term) else np.zeros(0, dtype=np.int64)
+        self.part_start, self.part_size = part, np.diff(np.r_[part, len(term)])
+        self.part_block = self.item[part] // BLOCK
+        self.part_max = np.maximum.reduceat(self.weight, part) if len(part) else np.zeros(0)
+        self.blocks = -(-max(n, 1) // BLOCK)
+        self.term_parts = np.bincount(term[part], minlength=len(self.vocabulary)) if len(part) else np.zeros(len(self.vocabulary), dtype=np.int64)
+        self.term_start = np.cumsum(self.term_parts) - self.term_parts
         starts: dict[int, list[tuple[int, int]]] = {}
         for k, w in enumerate(self.words):
             for j, g in enumerate(grams(w)):
@@ -107,13 +120,14 @@ class ItemIndex:
         self.listed = [w.tolist() for w in self.words]
 
     @staticmethod
-    def least_score(words: np.ndarray, weight: np.ndarray) -> float:
+    def least_score(words: np.ndarray, weight: dict[int, float]) -> float:
         """The least score of a stretch of the item, as the word edits may take its best terms and shorten it."""
+        own = words.tolist()
+        size = min(STRETCH - EDITS, len(own))
         best = np.inf
-        size = min(STRETCH - EDITS, len(words))
-        for s in range(len(words) - size + 1):
-            w = np.sort(weight[np.unique(words[s : s + size])])
-            best = min(best, float(w[: max(1, len(w) - EDITS)].sum()))
+        for s in range(len(own) - size + 1):
+            w = sorted(weight[t] for t in set(own[s : s + size]))
+            best = min(best, sum(w[: max(1, len(w) - EDITS)]))
         return max(best, 1e-6) * (1 - 1e-5)
 
     def retrieve(self, docs: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -129,32 +143,33 @@ class ItemIndex:
             at += len(w)
         if not owner or not len(self.ids):
             return []
-        words = np.concatenate(flat)
-        size = np.array(stop) - np.array(start)
+        words, found = np.concatenate(flat), set()
+        for c in range(0, len(owner), CHUNK):  # bounds memory, however long a document is
+            found |= self._retrieve(words, np.array(owner[c : c + CHUNK]), np.array(start[c : c + CHUNK]), np.array(stop[c : c + CHUNK]))
+        return sorted(found)
+
+    def _retrieve(self, words: np.ndarray, owner: np.ndarray, start: np.ndarray, stop: np.ndarray) -> set[tuple[int, int]]:
+        size = stop - start
         passage = np.repeat(np.arange(len(owner)), size)
         term = words[np.arange(len(passage)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)]
         keep = term >= 0
         pair = np.unique(passage[keep].astype(np.int64) * len(self.vocabulary) + term[keep])
         passage, term = pair // len(self.vocabulary), (pair % len(self.vocabulary)).astype(np.int64)
         if not len(pair):
-            return []
-        first = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
-        long = np.diff(np.r_[first, len(passage)]) >= (STRETCH - 2 * EDITS) // 2
-        bound = np.add.reduceat(self.maxima[term], first, axis=0)  # passages x blocks
-        found: set[tuple[int, int]] = set()
-        owners = np.array(owner)[passage[first]]
-        for b in range(bound.shape[1]):
-            hit = np.flatnonzero((bound[:, b] >= 1) & long)
-            if not len(hit):
-                continue
-            ends = np.r_[first, len(passage)]
-            rows = np.concatenate([np.arange(ends[h], ends[h + 1]) for h in hit])
-            offsets = np.cumsum([0, *(ends[hit + 1] - ends[hit])[:-1]])
-            score = np.add.reduceat(self.weight[term[rows], b], offsets, axis=0)
-            for p, k in zip(*np.nonzero(score >= 1)):
-                if b * BLOCK + k < len(self.ids):
-                    found.add((int(owners[hit[p]]), b * BLOCK + int(k)))
-        return sorted(found)
+            return set()
+        # Sums of block maxima; blocks under the threshold are not opened.
+        part = expand(self.term_start[term], self.term_parts[term])
+        at = np.repeat(passage, self.term_parts[term]) * self.blocks + self.part_block[part]
+        opened = (np.bincount(at, self.part_max[part], len(owner) * self.blocks) >= 1)[at]
+        part, at = part[opened], at[opened] // self.blocks
+        posting = expand(self.part_start[part], self.part_size[part])
+        key = np.repeat(at, self.part_size[part]) * len(self.ids) + self.item[posting]
+        if len(owner) * len(self.ids) <= 4_000_000:
+            hit = np.flatnonzero(np.bincount(key, self.weight[posting], len(owner) * len(self.ids)) >= 1)
+        else:  # many items: only the pairs that occur
+            known, place = np.unique(key, return_inverse=True)
+            hit = known[np.bincount(place, self.weight[posting]) >= 1] if len(known) else known
+        return set(zip(owner[hit // len(self.ids)].tolist(), (hit % len(self.ids)).tolist()))
 
     def leaks(self, docs: list[np.ndarray]) -> list[tuple[int, int, int]]:
         """(document, item, words of the longest stretch) of verified pairs."""
@@ -178,6 +193,11 @@ class ItemIndex:
         return out
 
 
+def expand(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start .. start + size - 1 of each range, one range after another."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 GRAM = 10  # two edits leave three runs of 28 equal words, so one of ten at least
 
 

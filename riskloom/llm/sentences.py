@@ -36,6 +36,8 @@ from riskloom.session import spread
 OPENS = 0.02
 #: Kept are words with at least this share of all block openings, and dictionary words with this share of all: 1 / share bounds each list.
 LEAST = 2e-5
+#: A word carries sentences on after a closed quotation if it is at least this share of the small words that follow one.
+FOLLOWS = 1e-3
 
 # Abbreviations after which a sentence goes on.
 INNER = frozenset("""
@@ -75,7 +77,7 @@ class Lexicon:
     """What the corpus says: lower-case words that open sentences, those that follow a closed quotation, and dictionary words of spaceless scripts with their log shares and opening shares."""
 
     openers: frozenset[str] = frozenset()
-    followers: frozenset[str] = frozenset(("asked", "and", "before"))
+    followers: frozenset[str] = frozenset()
     words: dict[str, float] | None = None
     opening: dict[str, float] | None = None
 
@@ -298,9 +300,10 @@ def sentence_spans(text: str, lex: Lexicon) -> list[tuple[int, int]]:
 
 
 def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(text) to (kind, term, n, opens): words, and n-grams of spaceless runs; `opens` where one opens a block or follows a certain end."""
-    n: dict[str, Counter] = {"w": Counter(), "g": Counter()}
-    opens: dict[str, Counter] = {"w": Counter(), "g": Counter()}
+    """(text) to (kind, term, n, opens): words (w), words in small letters after a closed quotation (f) and n-grams of spaceless runs (g); `opens` where one opens a block or follows a certain end."""
+    n: dict[str, Counter] = {"w": Counter(), "f": Counter(), "g": Counter()}
+    opens: dict[str, Counter] = {"w": Counter(), "f": Counter(), "g": Counter()}
+    after = re.compile(r"[.!?…][\"”»’]\s+([a-zà-ÿа-яα-ω]\w*)")
     first = re.compile(r"(?:^|\n[^\S\n]*\n)[^\S\n]*(?:[>#*/-]+[^\S\n]+|\d+\)[^\S\n]+)*([a-zà-ÿа-яα-ω][\w-]*)")
     sure = re.compile("(?:^|\n\\s*\n|[。！？])\\s*([぀-ヿ㐀-鿿]{1,4})")
 
@@ -314,6 +317,7 @@ def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             opens["w"].update(first.findall(t))
             n["w"].update(re.findall(r"(?<!\S)[a-zà-ÿа-яα-ω][\w-]*", t))
+            n["f"].update(after.findall(t))
             if _SPACELESS.search(t):
                 for r in _RUN.findall(t):
                     n["g"].update(r[i : i + k] for k in (1, 2, 3, 4) for i in range(len(r) - k + 1))
@@ -330,18 +334,21 @@ def learn_lexicon(texts: DataFrame) -> Lexicon:
     """Counts over all texts (column `text`); only terms above a fixed share come to the driver, so their number is bounded."""
     counts = texts.mapInPandas(count_words, "kind string, term string, n bigint, opens bigint").groupBy("kind", "term").agg(F.sum("n").alias("n"), F.sum("opens").alias("opens"))
     total = counts.groupBy("kind").agg(F.sum("n").alias("all_n"), F.sum("opens").alias("all_opens"))
-    kept = counts.join(F.broadcast(total), "kind").filter(  # two rows
-        ((F.col("kind") == "w") & (F.col("opens") >= F.greatest(F.lit(2.0), LEAST * F.col("all_opens"))) & (F.col("opens") >= OPENS * F.col("n")))
+    kept = counts.join(F.broadcast(total), "kind").filter(  # three rows
+        ((F.col("kind") == "f") & (F.col("n") >= F.greatest(F.lit(2.0), FOLLOWS * F.col("all_n"))))
+        | ((F.col("kind") == "w") & (F.col("opens") >= F.greatest(F.lit(2.0), LEAST * F.col("all_opens"))) & (F.col("opens") >= OPENS * F.col("n")))
         | ((F.col("kind") == "g") & (F.col("n") >= F.greatest(F.lit(2.0), LEAST * F.col("all_n"))))
     )
-    openers, words, opening = set(), {}, {}
+    openers, followers, words, opening = set(), set(), {}, {}
     for r in kept.toLocalIterator():
         if r.kind == "w":
             openers.add(r.term)
+        elif r.kind == "f":
+            followers.add(r.term)
         else:
             words[r.term] = math.log(r.n / r.all_n) + 1.5 * (len(r.term) - 1)
             opening[r.term] = r.opens / r.n
-    return Lexicon(frozenset(openers), words=words, opening=opening)
+    return Lexicon(frozenset(openers), frozenset(followers - openers), words, opening)
 
 
 def sentence_table(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
