@@ -111,12 +111,13 @@ class ItemIndex:
         self.blocks = -(-max(n, 1) // BLOCK)
         self.term_parts = np.bincount(term[part], minlength=len(self.vocabulary)) if len(part) else np.zeros(len(self.vocabulary), dtype=np.int64)
         self.term_start = np.cumsum(self.term_parts) - self.term_parts
-        starts: dict[int, list[tuple[int, int]]] = {}
-        for k, w in enumerate(self.words):
-            for j, g in enumerate(grams(w)):
-                starts.setdefault(int(g), []).append((k, j))
-        self.starts = starts
-        self.known = np.array(sorted(starts), dtype=np.uint64)
+        # Runs of GRAM words: hash, item and place, in the order of the hash.
+        runs = [grams(w) for w in self.words]
+        g = np.concatenate(runs) if runs else np.zeros(0, dtype=np.uint64)
+        order = np.argsort(g, kind="stable")
+        self.run_hash = g[order]
+        self.run_item = np.repeat(np.arange(n), [len(r) for r in runs])[order]
+        self.run_place = np.concatenate([np.arange(len(r)) for r in runs])[order] if runs else np.zeros(0, dtype=np.int64)
         self.listed = [w.tolist() for w in self.words]
 
     @staticmethod
@@ -180,14 +181,14 @@ class ItemIndex:
         for d, items in by_doc.items():
             wanted, best, w = set(items), {}, docs[d].tolist()
             g = grams(docs[d])
-            at = np.searchsorted(self.known, g)
-            hits = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] == g) if len(self.known) else []
+            low, high = np.searchsorted(self.run_hash, g, "left"), np.searchsorted(self.run_hash, g, "right")
+            hits = np.flatnonzero(high > low)
             done: dict[tuple[int, int], int] = {}
-            for j in hits:
-                for k, i in self.starts[int(g[j])]:
-                    if k in wanted and done.get((k, int(j) - i), -1) < j:
-                        n, upto = stretch(self.listed[k], w, i, int(j))
-                        done[(k, int(j) - i)] = upto
+            for j, a, b in zip(hits.tolist(), low[hits].tolist(), high[hits].tolist()):
+                for k, i in zip(self.run_item[a:b].tolist(), self.run_place[a:b].tolist()):
+                    if k in wanted and done.get((k, j - i), -1) < j:
+                        n, upto = stretch(self.listed[k], w, i, j)
+                        done[(k, j - i)] = upto
                         best[k] = max(best.get(k, 0), n)
             out += [(d, k, n) for k, n in best.items() if n >= STRETCH]
         return out

@@ -175,8 +175,11 @@ def fingerprint_rows(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd
             })
 
 
-def text_overlaps(df: DataFrame, row_id: str, text: str, split: str, least: int = 12, most: int = 3, share: float = 0.25) -> DataFrame:
-    """(id_a, id_b): rows of different sides, training and evaluation, whose texts differ in at most `most` words."""
+def text_classes(df: DataFrame, row_id: str, text: str, split: str, least: int = 12, most: int = 3, share: float = 0.25) -> tuple[DataFrame, DataFrame]:
+    """(members, links): (id, side, cls) of the rows with a text, and (cls_a, cls_b) of a training and an evaluation class within `most` words, equal ones included.
+
+    Copies are not expanded: a class of equal texts is one row in every step.
+    """
     known = F.col(split).isin("train", "validation", "test") & F.col(text).isNotNull()
     rows = df.filter(known).select(F.col(row_id).cast("bigint").alias("id"), F.col(text).alias("text"), F.when(F.col(split) == "train", 1).otherwise(2).cast("int").alias("side"))
     made = spread(rows, "id").mapInPandas(lambda it: fingerprint_rows(it, least), "id bigint, side int, cls bigint, n int, normal string, code bigint, keys array<bigint>")
@@ -195,9 +198,15 @@ def text_overlaps(df: DataFrame, row_id: str, text: str, split: str, least: int
     pairs = pairs.join(texts.select(F.col("cls").alias("cls_a"), F.col("normal").alias("text_a")), "cls_a").join(texts.select(F.col("cls").alias("cls_b"), F.col("normal").alias("text_b")), "cls_b")
     same = F.pandas_udf(lambda a, b: pd.Series([same_text(x, y, most, share) for x, y in zip(a, b)], dtype=bool), T.BooleanType())
     links = pairs.filter(same("text_a", "text_b")).select("cls_a", "cls_b")
-    links = links.unionByName(classes.filter(F.col("sides") == 3).select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b")))
-    train = made.filter("side = 1").select(F.col("id").alias("id_train"), F.col("cls").alias("cls_a"))
-    held = made.filter("side = 2").select(F.col("id").alias("id_held"), F.col("cls").alias("cls_b"))
+    equal = classes.filter(F.col("sides") == 3).select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b"))
+    return made.select("id", "side", "cls"), links.unionByName(equal)
+
+
+def text_overlaps(df: DataFrame, row_id: str, text: str, split: str, least: int = 12, most: int = 3, share: float = 0.25) -> DataFrame:
+    """(id_a, id_b): rows of different sides, training and evaluation, whose texts differ in at most `most` words."""
+    members, links = text_classes(df, row_id, text, split, least, most, share)
+    train = members.filter("side = 1").select(F.col("id").alias("id_train"), F.col("cls").alias("cls_a"))
+    held = members.filter("side = 2").select(F.col("id").alias("id_held"), F.col("cls").alias("cls_b"))
     found = links.join(train, "cls_a").join(held, "cls_b")
     return found.select(F.least("id_train", "id_held").alias("id_a"), F.greatest("id_train", "id_held").alias("id_b"))
 
@@ -221,14 +230,31 @@ def cross_split_overlaps(df: DataFrame, row_id: str = "row_id", hash_column: str
     return hash_overlaps(df, row_id, hash_column, split).unionByName(text_overlaps(df, row_id, text, split)).distinct()
 
 
-def overlap_report(df: DataFrame, pairs: DataFrame, row_id: str = "row_id", split: str = "data_split", source: str = "source_repo", label: str = "risky") -> DataFrame:
-    """Per evaluation split and source: its rows with a training twin, the pairs, and the pairs with another label."""
-    rows = df.select(F.col(row_id).alias("__id"), F.col(split).alias("split"), F.col(source).alias("source"), F.col(label).alias("label"))
-    a = rows.select(*[F.col(c).alias(f"{c}_a") for c in rows.columns])
-    b = rows.select(*[F.col(c).alias(f"{c}_b") for c in rows.columns])
-    both = pairs.join(a, F.col("id_a") == F.col("__id_a")).join(b, F.col("id_b") == F.col("__id_b"))
-    first = F.col("split_b") == "train"  # then a is the evaluation row
-    pick = lambda c: F.when(first, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b"))
-    flat = both.select(pick("split").alias("data_split"), pick("source").alias("source_repo"), pick("__id").alias("held"), (F.col("label_a") != F.col("label_b")).alias("other"))
-    per_row = flat.groupBy("data_split", "source_repo", "held").agg(F.count(F.lit(1)).alias("n"), F.count_if("other").alias("o"))
-    return per_row.groupBy("data_split", "source_repo").agg(F.count(F.lit(1)).alias("overlapping_rows"), F.sum("n").alias("pairs"), F.sum("o").alias("label_conflicts"))
+def overlap_rows(df: DataFrame, row_id: str = "row_id", hash_column: str = "hash", text: str = "commit_msg", split: str = "data_split", label: str = "risky") -> DataFrame:
+    """Per evaluation row with a twin in training: (row_id, class_id, text_twins, hash_twins, other_label).
+
+    Twins are counted per class and per hash first and never listed, so a class
+    or hash that holds much of the table costs one row. other_label: whether a
+    twin has another label than the row; class_id is null for rows without a
+    text long enough.
+    """
+    rows = df.filter(F.col(split).isin("train", "validation", "test")).select(F.col(row_id).cast("bigint").alias("id"), hash_key(hash_column).alias("h"), F.col(label).alias("y"), (F.col(split) == "train").alias("t"))
+    counts = lambda: (F.count(F.lit(1)).alias("k"), F.count_if(F.col("y") == 0).alias("k0"), F.count_if(F.col("y") == 1).alias("k1"))
+    by_hash = rows.filter("t and h is not null").groupBy("h").agg(*counts())
+    members, links = text_classes(df, row_id, text, split)
+    labelled = members.filter("side = 1").select(F.col("id").alias("m"), "cls").join(rows.select("id", "y"), F.col("m") == F.col("id"))
+    by_class = labelled.groupBy(F.col("cls").alias("cls_a")).agg(*counts())
+    near = links.join(by_class, "cls_a").groupBy("cls_b").agg(*[F.sum(c).alias(f"t_{c}") for c in ("k", "k0", "k1")])
+    held = members.filter("side = 2").select(F.col("id").alias("m"), F.col("cls").alias("class_id"))
+    own = rows.filter("not t").join(held, F.col("id") == F.col("m"), "left").join(near, F.col("class_id") == F.col("cls_b"), "left").join(by_hash, "h", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    other = F.when(F.col("y") == 1, zero("t_k0") + zero("k0") > 0).when(F.col("y") == 0, zero("t_k1") + zero("k1") > 0).otherwise(F.lit(False))
+    return own.select(F.col("id").alias("row_id"), "class_id", zero("t_k").alias("text_twins"), zero("k").alias("hash_twins"), other.alias("other_label")).filter("text_twins + hash_twins > 0")
+
+
+def overlap_report(df: DataFrame, row_id: str = "row_id", hash_column: str = "hash", text: str = "commit_msg", split: str = "data_split", source: str = "source_repo", label: str = "risky") -> DataFrame:
+    """Per evaluation split and source: rows with a twin in training, links by text and by hash, and rows of which a twin has another label."""
+    twins = overlap_rows(df, row_id, hash_column, text, split, label).withColumnRenamed("row_id", "__id")
+    rows = df.select(F.col(row_id).alias("__row"), F.col(split).alias("data_split"), F.col(source).alias("source_repo"))
+    joined = twins.join(rows, F.col("__id") == F.col("__row"))
+    return joined.groupBy("data_split", "source_repo").agg(F.count(F.lit(1)).alias("overlapping_rows"), F.sum("text_twins").alias("text_links"), F.sum("hash_twins").alias("hash_links"), F.count_if("other_label").alias("label_conflicts"))

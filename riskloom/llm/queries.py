@@ -21,8 +21,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
-    rows = commits(spark, d, "row_id", "hash", "commit_msg", "data_split", "source_repo", "risky")
-    return overlaps.overlap_report(rows, overlaps.cross_split_overlaps(rows))
+    return overlaps.overlap_report(commits(spark, d, "row_id", "hash", "commit_msg", "data_split", "source_repo", "risky"))
+
+
+def p2_rows(spark: SparkSession, d: str) -> DataFrame:
+    return overlaps.overlap_rows(commits(spark, d, "row_id", "hash", "commit_msg", "data_split", "risky"))
 
 
 def p2_same_hash(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +100,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_table(documents(spark, d, "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p2_same_hash, p3_found, p3_split_by_author, p3_split_by_repo, p4_percentiles, p5_found, p5_sanitised, p7_found, p7_report, p8_mix, p8_report, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_rows, p2_report, p2_same_hash, p3_found, p3_split_by_author, p3_split_by_repo, p4_percentiles, p5_found, p5_sanitised, p7_found, p7_report, p8_mix, p8_report, p9_found)}
 
 _STATE = """
   select source_repo, cast(ingested_at as date) as day, m.metric, m.value

@@ -62,13 +62,9 @@ def name_key(name: str) -> str:
 
 @F.pandas_udf(T.StringType())
 def _name_key(names: pd.Series) -> pd.Series:
-    return pd.Series([name_key(x) if isinstance(x, str) and x.strip() else None for x in names], dtype=object)
-
-
-def author_keys(df: DataFrame, author: str) -> DataFrame:
-    """(author, author_key) of each distinct value; values are made distinct before Python sees them."""
-    names = df.select(F.col(author).alias("author")).filter(F.col("author").isNotNull()).distinct()
-    return names.withColumn("author_key", _name_key("author")).filter(F.col("author_key").isNotNull())
+    place, values = pd.factorize(names)  # each spelling of a batch once
+    keys = np.array([name_key(x) if x.strip() else None for x in values] + [None], dtype=object)
+    return pd.Series(keys[place])
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -192,10 +188,8 @@ def variant_pairs(assigned: DataFrame, author: str, key: str) -> DataFrame:
 
 
 def keyed_authors(df: DataFrame, author: str, out: str = "author_key") -> DataFrame:
-    """Adds the author key. Keys are made per distinct value; the join is salted-free, as a hot value meets one row that AQE may split."""
-    keys = author_keys(df, author).select(F.col("author").alias("__author"), F.col("author_key").alias(out))
-    own = df.drop(out)
-    return own.join(keys, own[author] == keys["__author"], "left").drop("__author")
+    """Adds the author key. A column function: no shuffle, so no hot author."""
+    return df.withColumn(out, _name_key(F.col(author)))
 
 
 def split_report(assigned: DataFrame, label: str) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from riskloom.llm.overlaps import SEGMENTS, bumps, cross_split_overlaps, fingerprints, hash_overlaps, normal_words, overlap_report, reverts, same_text, text_overlaps, word_edits
+from riskloom.llm.overlaps import SEGMENTS, bumps, cross_split_overlaps, fingerprints, hash_overlaps, normal_words, overlap_report, overlap_rows, reverts, same_text, text_overlaps, word_edits
 
 SCHEMA = "row_id long, hash string, commit_msg string, data_split string, source_repo string, risky int"
 BASE = "Fix the login form so that wrong passwords are logged once per session and never shown again to anyone"
@@ -75,8 +75,19 @@ def test_random_texts_against_brute_force(spark):
 
 def test_report(spark):
     df = table(spark, [(None, BASE, "train"), (None, BASE, "test"), (None, BASE, "test")])
-    r = overlap_report(df, cross_split_overlaps(df)).first()
-    assert (r.data_split, r.source_repo, r.overlapping_rows, r.pairs, r.label_conflicts) == ("test", "repo", 2, 2, 1)
+    r = overlap_report(df).first()
+    assert (r.data_split, r.source_repo, r.overlapping_rows, r.text_links, r.hash_links, r.label_conflicts) == ("test", "repo", 2, 2, 0, 1)
+
+
+def test_rows_agree_with_the_pairs(spark, small):
+    df = spark.read.parquet(f"{small}/commit_features.parquet")
+    split = {r.row_id: r.data_split for r in df.select("row_id", "data_split").collect()}
+    want = {}
+    for a, b in pairs(cross_split_overlaps(df)):
+        held = b if split[a] == "train" else a
+        want[held] = want.get(held, 0) + 1
+    got = {r.row_id: r for r in overlap_rows(df).collect()}
+    assert set(got) == set(want) and all(max(r.text_twins, r.hash_twins) <= want[k] <= r.text_twins + r.hash_twins for k, r in got.items())
 
 
 @settings(max_examples=200, deadline=None)
