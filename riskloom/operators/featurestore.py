@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.operators.metrics import latest_per_key
+from riskloom.operators.skew import quantile_slices
 
 
 def prepared(rows: DataFrame, key: str = "hash", event_time: str = "date") -> DataFrame:
@@ -32,14 +33,23 @@ def as_of(events: DataFrame, features: DataFrame, key: str, event_time: str, eve
 
     One sort of both sides together instead of a range join: events and features
     are one stream per key, and the last feature row is carried forward. The
-    work is linear, however many feature rows an event has before it. A row with
-    a null key gets nulls.
+    stream of a key is cut into slices of time, so that no task sorts a whole hot
+    key; the last feature row of each slice, one per slice, is carried into the
+    later ones. The work is linear, however many feature rows an event has before
+    it. A row with a null key gets nulls.
     """
-    keyed = events.filter(F.col(key).isNotNull()).select(F.col(key).alias("__k"), F.col(event_time).alias("__t"), F.lit(1).alias("__side"), F.col(event_id).alias("__i"), F.struct(*events.columns).alias("__e"), F.lit(None).cast(features.select(F.struct(feature_time, *columns)).schema[0].dataType).alias("__f"))
-    known = features.filter(F.col(key).isNotNull() & F.col(feature_time).isNotNull()).select(F.col(key).alias("__k"), F.col(feature_time).alias("__t"), F.lit(0).alias("__side"), F.col(feature_id).alias("__i"), F.lit(None).cast(keyed.schema["__e"].dataType).alias("__e"), F.struct(feature_time, *columns).alias("__f"))
-    carried = Window.partitionBy("__k").orderBy("__t", "__side", "__i").rowsBetween(Window.unboundedPreceding, 0)
-    both = keyed.unionByName(known).withColumn("__last", F.last("__f", ignorenulls=True).over(carried)).filter("__side = 1")
+    kind = lambda df, *c: df.select(F.struct(*c)).schema[0].dataType
+    asked = events.filter(F.col(key).isNotNull()).select(F.col(key).alias("__k"), F.col(event_time).alias("__t"), F.lit(1).alias("__side"), F.col(event_id).cast("string").alias("__i"), F.struct(*events.columns).alias("__e"), F.lit(None).cast(kind(features, feature_time, *columns)).alias("__f"))
+    known = features.filter(F.col(key).isNotNull() & F.col(feature_time).isNotNull()).select(F.col(key).alias("__k"), F.col(feature_time).alias("__t"), F.lit(0).alias("__side"), F.lpad(F.col(feature_id).cast("string"), 40, "0").alias("__i"), F.lit(None).cast(kind(events, *events.columns)).alias("__e"), F.struct(feature_time, *columns).alias("__f"))
+    both = asked.unionByName(known)
+    both = both.withColumn("__slice", quantile_slices(both, F.unix_micros(F.col("__t").cast("timestamp"))))
+    within = Window.partitionBy("__k", "__slice").orderBy("__t", "__side", "__i").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("__key").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.groupBy(F.col("__k").alias("__key"), F.col("__slice").alias("__at")).agg(F.max_by("__f", F.when(F.col("__side") == 0, F.struct("__t", "__i"))).alias("__end"))
+    ends = ends.select("__key", "__at", F.last("__end", ignorenulls=True).over(earlier).alias("__before"))
+    carried = both.withColumn("__own", F.last("__f", ignorenulls=True).over(within)).filter("__side = 1").join(ends, (F.col("__k") == F.col("__key")) & (F.col("__slice") == F.col("__at")))
+    carried = carried.withColumn("__last", F.coalesce("__own", "__before"))
     fresh = F.col(f"__last.{feature_time}") >= F.col("__t") - F.expr(f"interval {ttl}")
-    matched = both.select("__e.*", *[F.when(fresh, F.col(f"__last.{c}")).alias(f"feature_{c}") for c in (feature_time, *columns)])
+    matched = carried.select("__e.*", *[F.when(fresh, F.col(f"__last.{c}")).alias(f"feature_{c}") for c in (feature_time, *columns)])
     rest = events.filter(F.col(key).isNull())
     return matched.unionByName(rest.select("*", *[F.lit(None).cast(matched.schema[f"feature_{c}"].dataType).alias(f"feature_{c}") for c in (feature_time, *columns)]))

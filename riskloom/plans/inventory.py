@@ -265,8 +265,8 @@ def jsn1_decode(s, d):
 
 @query("""with k as (select hash, source_repo, count(*) as n from file_touches group by hash, source_repo) select hash, source_repo, n from k""")
 def arr1_explode_files(s, d):
-    """Nested commits, made of the touches, exploded again."""
-    nested = touches(s, d).groupBy("hash", "source_repo").agg(F.min("date").alias("author_date"), F.min("seq").alias("seq"), F.collect_list(F.struct("new_path", "old_path")).alias("modified_files"))
+    """Nested rows, one per touch, exploded again and counted per commit."""
+    nested = touches(s, d).select("hash", "source_repo", F.col("date").alias("author_date"), "seq", F.array(F.struct("new_path", "old_path")).alias("modified_files"))
     return history.explode_touches(nested).groupBy("hash", "source_repo").agg(F.count(F.lit(1)).alias("n"))
 
 

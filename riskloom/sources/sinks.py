@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.columns import lookup
+from riskloom.operators.skew import quantile_slices, sliced_running
 
 # How levels are shown in a report.
 BADGES = {"low": "[LOW]", "medium": "[MED]", "high": "[HIGH]"}
@@ -51,9 +52,10 @@ def failure_details(text: Column) -> Column:
 
 
 def keep_newest(files: DataFrame, group: str, moment: str, keep: int = 5) -> DataFrame:
-    """Adds `keep`: whether a file is among its group's newest; the others may be deleted."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(F.col(moment).desc(), F.col("path")))
-    return files.withColumn("keep", place <= keep)
+    """Adds `keep`: whether a file is among its group's newest, equal times by path; the others may be deleted."""
+    age = -F.unix_micros(F.col(moment).cast("timestamp"))
+    ranked = sliced_running(files, [group], quantile_slices(files, age), [F.col(moment).desc(), F.col("path")], {"__place": F.lit(1).cast("bigint")})
+    return ranked.withColumn("keep", F.col("__place") <= keep).select(*[c for c in files.columns if c != "keep"], "keep")
 
 
 def run_record(run_id: Column, params: Column, metrics: Column) -> Column:
