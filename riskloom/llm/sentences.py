@@ -74,10 +74,11 @@ _BEFORE = re.compile(r"\S+$")
 
 @dataclass(frozen=True)
 class Lexicon:
-    """What the corpus says: lower-case words that open sentences, those that follow a closed quotation, and dictionary words of spaceless scripts with their log shares and opening shares."""
+    """What the corpus says: lower-case words that open sentences, those that follow a closed quotation or a pause, how often a capital follows an abbreviation, and dictionary words of spaceless scripts with their log shares and opening shares."""
 
     openers: frozenset[str] = frozenset()
     followers: frozenset[str] = frozenset()
+    outer: dict[str, float] | None = None
     words: dict[str, float] | None = None
     opening: dict[str, float] | None = None
 
@@ -139,6 +140,12 @@ def _opens(block: str, at: int, lex: Lexicon) -> tuple[bool, str]:
     return True, word
 
 
+def _caseless(block: str, start: int, at: int) -> bool:
+    """Whether the words around a place are capitalised throughout, so that case says nothing."""
+    words = [w for w in re.findall(r"[^\W\d_]{2,}", block[max(start, at - 60) : at + 60]) if w.lower() != w or w.upper() != w]
+    return len(words) > 3 and sum(w[0].isupper() for w in words) >= 0.8 * len(words)
+
+
 def _carries_on(block: str, a: int, at: int, lex: Lexicon) -> bool:
     """In a script without spaces: whether the sentence goes on after a closed quotation or a pause."""
     run = _RUN.match(block, at)
@@ -176,6 +183,8 @@ def _dot_ends(block: str, start: int, a: int, e: int, nxt: int, lex: Lexicon) ->
             joined = f"{head[1].lower()}.{word}"
     for w in (joined, word):
         if w in OUTER:
+            if lex.outer is not None and opens and _caseless(block, start, a):
+                return lex.outer.get(w, 1.0) >= 0.5 and not after[:1].isdigit()
             return opens and not after[:1].isdigit()
         if w in INNER:
             return False
@@ -300,10 +309,11 @@ def sentence_spans(text: str, lex: Lexicon) -> list[tuple[int, int]]:
 
 
 def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(text) to (kind, term, n, opens): words (w), words in small letters after a closed quotation (f) and n-grams of spaceless runs (g); `opens` where one opens a block or follows a certain end."""
-    n: dict[str, Counter] = {"w": Counter(), "f": Counter(), "g": Counter()}
-    opens: dict[str, Counter] = {"w": Counter(), "f": Counter(), "g": Counter()}
-    after = re.compile(r"[.!?…][\"”»’]\s+([a-zà-ÿа-яα-ω]\w*)")
+    """(text) to (kind, term, n, opens): words (w), words in small letters after a closed quotation or a pause (f), abbreviations that may end a sentence (a) and n-grams of spaceless runs (g); `opens` where one opens a block or follows a certain end, or a capital follows."""
+    n: dict[str, Counter] = {"w": Counter(), "f": Counter(), "a": Counter(), "g": Counter()}
+    opens: dict[str, Counter] = {"w": Counter(), "f": Counter(), "a": Counter(), "g": Counter()}
+    after = re.compile(r"(?:[.!?…][\"”»’]|…|\.\.\.)\s+([a-zà-ÿа-яα-ω]\w*)")
+    short = re.compile(r"(?<![\w.])(" + "|".join(re.escape(x) for x in sorted(OUTER, key=len, reverse=True)) + r")\.\s+([^\W\d_])", re.I)
     first = re.compile(r"(?:^|\n[^\S\n]*\n)[^\S\n]*(?:[>#*/-]+[^\S\n]+|\d+\)[^\S\n]+)*([a-zà-ÿа-яα-ω][\w-]*)")
     sure = re.compile("(?:^|\n\\s*\n|[。！？])\\s*([぀-ヿ㐀-鿿]{1,4})")
 
@@ -318,6 +328,9 @@ def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             opens["w"].update(first.findall(t))
             n["w"].update(re.findall(r"(?<!\S)[a-zà-ÿа-яα-ω][\w-]*", t))
             n["f"].update(after.findall(t))
+            for w, c in short.findall(t):
+                n["a"][w.lower()] += 1
+                opens["a"][w.lower()] += c.isupper()
             if _SPACELESS.search(t):
                 for r in _RUN.findall(t):
                     n["g"].update(r[i : i + k] for k in (1, 2, 3, 4) for i in range(len(r) - k + 1))
@@ -334,21 +347,24 @@ def learn_lexicon(texts: DataFrame) -> Lexicon:
     """Counts over all texts (column `text`); only terms above a fixed share come to the driver, so their number is bounded."""
     counts = texts.mapInPandas(count_words, "kind string, term string, n bigint, opens bigint").groupBy("kind", "term").agg(F.sum("n").alias("n"), F.sum("opens").alias("opens"))
     total = counts.groupBy("kind").agg(F.sum("n").alias("all_n"), F.sum("opens").alias("all_opens"))
-    kept = counts.join(F.broadcast(total), "kind").filter(  # three rows
-        ((F.col("kind") == "f") & (F.col("n") >= F.greatest(F.lit(2.0), FOLLOWS * F.col("all_n"))))
+    kept = counts.join(F.broadcast(total), "kind").filter(  # four rows
+        (F.col("kind") == "a")
+        | ((F.col("kind") == "f") & (F.col("n") >= F.greatest(F.lit(2.0), FOLLOWS * F.col("all_n"))))
         | ((F.col("kind") == "w") & (F.col("opens") >= F.greatest(F.lit(2.0), LEAST * F.col("all_opens"))) & (F.col("opens") >= OPENS * F.col("n")))
         | ((F.col("kind") == "g") & (F.col("n") >= F.greatest(F.lit(2.0), LEAST * F.col("all_n"))))
     )
-    openers, followers, words, opening = set(), set(), {}, {}
+    openers, followers, outer, words, opening = set(), set(), {}, {}, {}
     for r in kept.toLocalIterator():
         if r.kind == "w":
             openers.add(r.term)
         elif r.kind == "f":
             followers.add(r.term)
+        elif r.kind == "a":
+            outer[r.term] = r.opens / r.n
         else:
             words[r.term] = math.log(r.n / r.all_n) + 1.5 * (len(r.term) - 1)
             opening[r.term] = r.opens / r.n
-    return Lexicon(frozenset(openers), frozenset(followers - openers), words, opening)
+    return Lexicon(frozenset(openers), frozenset(followers - openers), outer, words, opening)
 
 
 def sentence_table(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

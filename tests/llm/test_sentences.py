@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 
 from riskloom.llm.sentences import Lexicon, lattice_words, learn_lexicon, sentence_spans, sentence_table
 
-LEX = Lexicon(frozenset({"ferngate"}))
+LEX = Lexicon(frozenset({"ferngate"}), frozenset({"and", "asked", "then"}), {"u.s": 0.0, "a.m": 0.1, "etc": 0.9})
 
 
 def cut(text, lex=LEX):
@@ -24,7 +24,7 @@ def cut(text, lex=LEX):
     ("> quoted text\n> runs on. And\n> more.", ["quoted text\n> runs on.", "And\n> more."]), ("// a b\n// c.\n// D.", ["a b\n// c.", "D."]),
     ("Am 4. Oktober, z. B. in x, d. h. die y usw. Die Z.", ["Am 4. Oktober, z. B. in x, d. h. die y usw.", "Die Z."]), ("„Das geht. Gut“, schrieb sie. Nr. 9 fehlt.", ["„Das geht. Gut“, schrieb sie.", "Nr. 9 fehlt."]),
     ("« C'est tout », écrit-elle. Pourquoi ? Il part !", ["« C'est tout », écrit-elle.", "Pourquoi ?", "Il part !"]), ("Según el n.º 23, p. ej. en x. ¿Por qué? ¡Ya!", ["Según el n.º 23, p. ej. en x.", "¿Por qué?", "¡Ya!"]),
-    ("т. е. всё и т. д. Ночной запуск. См. стр. 13.", ["т. е. всё и т. д.", "Ночной запуск.", "См. стр. 13."]), ("Γιατί; Το ποσοστό, π.χ. στο x. Ναι", ["Γιατί;", "Το ποσοστό, π.χ. στο x.", "Ναι"]), ("a; b. C", ["a; b.", "C"]), ("Всё и т.\n> д. Ночь, d.\n> h. so, z.\n// B. da. Ende", ["Всё и т.\n> д.", "Ночь, d.\n> h. so, z.\n// B. da.", "Ende"]), ("Всё и т. д\n\nX", ["Всё и т. д", "X"]),
+    ("т. е. всё и т. д. Ночной запуск. См. стр. 13.", ["т. е. всё и т. д.", "Ночной запуск.", "См. стр. 13."]), ("Γιατί; Το ποσοστό, π.χ. στο x. Ναι", ["Γιατί;", "Το ποσοστό, π.χ. στο x.", "Ναι"]), ("a; b. C", ["a; b.", "C"]), ("The U.S. Shard Ran At 4 A.M. On It, Etc. We Waited ... And Then It Came. \"Did It?\" Asked The Man. Ok", ["The U.S. Shard Ran At 4 A.M. On It, Etc.", "We Waited ... And Then It Came.", '"Did It?" Asked The Man.', "Ok"]), ("Всё и т.\n> д. Ночь, d.\n> h. so, z.\n// B. da. Ende", ["Всё и т.\n> д.", "Ночь, d.\n> h. so, z.\n// B. da.", "Ende"]), ("Всё и т. д\n\nX", ["Всё и т. д", "X"]),
     ("为什么？评审者写道：“好。可以。”然后走。等了很久……最后走。", ["为什么？", "评审者写道：“好。可以。”然后走。", "等了很久……最后走。"]), ("「戻して。」と書いた。なぜか？", ["「戻して。」と書いた。", "なぜか？"]),
     ("क्या हुआ? डॉ. राम गए। अब", ["क्या हुआ?", "डॉ. राम गए।", "अब"]), ("هل فحص؟ لم يغير!", ["هل فحص؟", "لم يغير!"]), ("ถ้าใช้ x ให้ทำ แล้วไป\nจบ", ["ถ้าใช้ x ให้ทำ", "แล้วไป", "จบ"]),
     ("”It is!” The end.", ["”It is!”", "The end."]), ('An "open quote. Next one. Last', ['An "open quote.', "Next one.", "Last"]),
