@@ -103,6 +103,28 @@ def rate_for(tokens: np.ndarray, target: float, cap: int) -> float:
     return hi
 
 
+def steps_for(tokens: np.ndarray, target: float, cap: int, near: int = 24) -> list[float]:
+    """The uniform numbers at or above which a document has more than 0, 1 .. copies.
+
+    The inverse distribution's steps are moved to edges of bins, where the
+    tokens held are known exactly; of the places near the first and second step,
+    the pair that comes closest to the target is taken.
+    """
+    at = np.rint(np.array(poisson_cdf(rate_for(tokens, target, cap), cap)) * BINS).astype(int)
+    above = np.r_[np.cumsum(tokens[::-1])[::-1], 0.0]
+    if target <= 0 or not at.any():
+        return (at / BINS).tolist()
+    first = np.arange(max(0, at[0] - near), min(BINS, at[0] + near) + 1)
+    second = np.arange(max(0, at[1] - near), min(BINS, at[1] + near) + 1) if cap > 1 else np.array([BINS])
+    miss = np.abs(above[first][:, None] + above[second][None, :] + above[at[2:]].sum() - target)
+    miss += (np.abs(first - at[0])[:, None] + np.abs(second - at[min(1, cap - 1)])[None, :]) * 1e-9 * target  # of equals the nearest
+    a, b = np.unravel_index(np.argmin(miss), miss.shape)
+    at[0] = first[a]
+    if cap > 1:
+        at[1] = max(second[b], first[a])
+    return (np.maximum.accumulate(at) / BINS).tolist()
+
+
 def plan_mix(sizes: dict[str, float], targets: dict[str, tuple[float, int]], least_total: float, total: float | None = None) -> dict[str, float]:
     """Tokens wanted of each source that has any."""
     present = {s: t for s, t in targets.items() if sizes.get(s, 0) > 0 and t[0] > 0 and t[1] > 0}
@@ -130,7 +152,7 @@ def mix_sources(documents: DataFrame, targets: DataFrame, doc_id: str = "doc_id"
         by_source.setdefault(r["__source"], np.zeros(BINS))[r["bin"]] = r["n"]
     want = {r["s"]: (float(r["share"] or 0), int(r["cap"] or 0)) for r in listed.toLocalIterator()}
     goal = plan_mix({s: float(x.sum()) for s, x in by_source.items()}, want, least_total, total)
-    rows = [(s, poisson_cdf(rate_for(by_source[s], goal[s], want[s][1]), want[s][1])) for s in goal]
+    rows = [(s, steps_for(by_source[s], goal[s], want[s][1])) for s in goal]
     steps = documents.sparkSession.createDataFrame(rows, "s string, steps array<double>")
     counted = sized.join(F.broadcast(steps), sized["__source"] == F.col("s")).withColumn("__n", F.size(F.filter("steps", lambda x: F.col("__u") >= x)))
     copies = counted.filter("__n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("__n"))))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.llm.mixing import BINS, PATTERN, TOKENIZER, count_tokens, encoder, mix_report, mix_sources, plan_mix, poisson_cdf, rate_for
+from riskloom.llm.mixing import BINS, PATTERN, TOKENIZER, count_tokens, encoder, mix_report, mix_sources, plan_mix, poisson_cdf, rate_for, steps_for
 
 SHARES = [("a", 0.5, 1), ("b_c", 0.3, 4), ("tiny", 0.1, 2), ("none", 0.1, 2)]
 
@@ -55,6 +55,13 @@ def test_rates_and_plans():
         rate = rate_for(tokens, target * tokens.sum(), 4)
         held = sum(1 - c for c in poisson_cdf(rate, 4))
         assert abs(held - target) < 1e-3
+    heavy = np.zeros(BINS)
+    heavy[::7] = np.arange(len(heavy[::7])) % 50 * 100.0
+    for target in (0.2, 0.9, 2.5):
+        steps = steps_for(heavy, target * heavy.sum(), 4)
+        held = sum(heavy[int(x * BINS) :].sum() for x in steps)
+        assert abs(held / heavy.sum() - target) < 1e-3 and steps == sorted(steps)
+    assert steps_for(heavy, 0, 2) == [1.0, 1.0] and steps_for(heavy, heavy.sum() * 2, 2) == [0.0, 0.0]
     assert rate_for(tokens, 4 * tokens.sum(), 4) == float("inf") and poisson_cdf(float("inf"), 2) == [0.0, 0.0]
     plan = plan_mix({"a": 100.0, "b": 100.0}, {"a": (0.5, 1), "b": (0.4, 1), "c": (0.1, 1)}, 0.5)
     assert abs(plan["a"] / sum(plan.values()) - 5 / 9) < 1e-9 and abs(plan["a"] - 100) < 1e-9
