@@ -57,7 +57,7 @@ _SPACED = re.compile(r"(?<=\w)—(?=\w)")
 
 def plain_words(text: str) -> list[str]:
     """Words without case, punctuation, markup, marks at line starts, hyphens at line ends and invisible characters."""
-    t = _HYPHEN.sub("", text)
+    t = _HYPHEN.sub("", text) if "-\n" in text or "‐" in text or "\xad" in text or "- " in text else text
     if "<" in t:
         t = _TAG.sub("", t)
     if "&" in t:
@@ -65,19 +65,15 @@ def plain_words(text: str) -> list[str]:
     if "](" in t:
         t = _LINK.sub(r"\1", t)
     t = _MARK.sub("", t)
-    t = _INVISIBLE.sub("", t)
-    t = _SPACED.sub(" ", t)
-    if not t.isascii():
+    plain = t.isascii()
+    if not plain:
+        t = _SPACED.sub(" ", _INVISIBLE.sub("", t))
         t = unicodedata.normalize("NFKD", t)
         t = "".join(c for c in t if not unicodedata.combining(c))
-    words = []
-    for w in t.casefold().split():
-        w = _LOOSE.sub("", w)
-        if w:
-            if not w.isascii() and _OTHER.search(w) and _LATIN.search(w):
-                w = w.translate(_ALIKE)
-            words.append(w)
-    return words
+    words = [w for w in (x if x.isalnum() else _LOOSE.sub("", x) for x in t.casefold().split()) if w]
+    if plain or not _OTHER.search(t):
+        return words
+    return [w.translate(_ALIKE) if not w.isascii() and _OTHER.search(w) and _LATIN.search(w) else w for w in words]
 
 
 class ItemIndex:
@@ -92,14 +88,20 @@ class ItemIndex:
         df = np.zeros(len(self.vocabulary))
         for w in self.words:
             df[np.unique(w)] += 1
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        term, item, weight = [], [], []
+        # A term of half the items says nothing; its weight is 0, in the thresholds as well, and it has no postings.
+        idf = np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 0) if n >= 32 else np.log(1 + (n - df + 0.5) / (df + 0.5))
+        term, item, weight, always = [], [], [], []
         for k, w in enumerate(self.words):
             own, tf = np.unique(w, return_counts=True)
             value = idf[own] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean))
-            term.append(own)
-            item.append(np.full(len(own), k))
-            weight.append(value / self.least_score(w, dict(zip(own.tolist(), value.tolist()))))
+            least, said = self.least_score(w, dict(zip(own.tolist(), value.tolist()))), value > 0
+            if least <= 0:
+                always.append(k)  # a stretch of it has no term that says anything: it is verified in every document
+                continue
+            term.append(own[said])
+            item.append(np.full(said.sum(), k))
+            weight.append(value[said] / least)
+        self.always = always
         term, item, weight = (np.concatenate(x) if x else np.zeros(0, dtype=kind) for x, kind in ((term, np.int64), (item, np.int64), (weight, float)))
         # Postings by term and item; those of one term in one block stand together.
         order = np.lexsort((item, term))
@@ -129,7 +131,7 @@ class ItemIndex:
         for s in range(len(own) - size + 1):
             w = sorted(weight[t] for t in set(own[s : s + size]))
             best = min(best, sum(w[: max(1, len(w) - EDITS)]))
-        return max(best, 1e-6) * (1 - 1e-5)
+        return best * (1 - 1e-5)
 
     def retrieve(self, docs: list[np.ndarray]) -> list[tuple[int, int]]:
         """(document, item) pairs of which a passage scores at least the item's threshold."""
@@ -144,7 +146,7 @@ class ItemIndex:
             at += len(w)
         if not owner or not len(self.ids):
             return []
-        words, found = np.concatenate(flat), set()
+        words, found = np.concatenate(flat), {(d, k) for d, w in enumerate(docs) if len(w) for k in self.always}
         for c in range(0, len(owner), CHUNK):  # bounds memory, however long a document is
             found |= self._retrieve(words, np.array(owner[c : c + CHUNK]), np.array(start[c : c + CHUNK]), np.array(stop[c : c + CHUNK]))
         return sorted(found)

@@ -65,6 +65,14 @@ def test_retrieval_loses_no_case_of_brute_force():
     assert got == want and len(want) > 40
 
 
+def test_items_of_frequent_words_only():
+    items = [(i, " ".join(["the", "of"] * 40 if i < 30 else ["the", "of", *noise(70)])) for i in range(40)]
+    index = ItemIndex(items)
+    ids = lambda ws: [np.array([index.vocabulary.get(w, -1) for w in ws], dtype=np.int32)]
+    assert len(index.always) == 30 and {k for _, k, _ in index.leaks(ids([*noise(9), *["the", "of"] * 20]))} == set(range(30))
+    assert index.leaks(ids(noise(99))) == []
+
+
 def test_tables(spark):
     text = ITEMS[4][1]
     docs = [(1, text, "x"), (2, text.upper(), "x"), (3, None, "x"), (4, "", "x"), (5, " ".join(noise(2000)), "x"), (6, " ".join(noise(3000)) + " " + text + " high", "x"), (1, text, "x"), (7, "shared opening line", "x")]
