@@ -118,6 +118,11 @@ ORACLE_SQL = {
                    from commit_features where data_split in ('train', 'validation', 'test'))
         select least(a.row_id, b.row_id) as row_id_a, greatest(a.row_id, b.row_id) as row_id_b
         from k a join k b on a.h = b.h and a.data_split = 'train' and b.data_split <> 'train' where length(a.h) = 12""",
+    "p3_found": r"""
+        with k as (select distinct author, array_to_string(list_sort(regexp_extract_all(strip_accents(lower(nfc_normalize(
+                     regexp_replace(author, '<[^<>]*>|\([^()]*\)|\[[^\[\]]*\]|\S+@\S+', ' ', 'g')))), '[\pL\pN]+')), ' ') as name
+                   from commit_features where author is not null)
+        select a.author as author_a, b.author as author_b from k a join k b on a.name = b.name and a.author < b.author""",
     "p4_percentiles": f"""
         with s as ({_STATE}), a as (select source_repo, day, metric, value from s union all select source_repo, cast(null as date), metric, value from s),
         k as ({_RANKED.format(state="select * from a")})
