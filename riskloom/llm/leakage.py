@@ -176,24 +176,30 @@ class ItemIndex:
 
     def leaks(self, docs: list[np.ndarray]) -> list[tuple[int, int, int]]:
         """(document, item, words of the longest stretch) of verified pairs."""
-        by_doc: dict[int, list[int]] = {}
+        by_doc: dict[int, set[int]] = {}
         for d, k in self.retrieve(docs):
-            by_doc.setdefault(d, []).append(k)
-        out = []
-        for d, items in by_doc.items():
-            wanted, best, w = set(items), {}, docs[d].tolist()
-            g = grams(docs[d])
-            low, high = np.searchsorted(self.run_hash, g, "left"), np.searchsorted(self.run_hash, g, "right")
-            hits = np.flatnonzero(high > low)
-            done: dict[tuple[int, int], int] = {}
-            for j, a, b in zip(hits.tolist(), low[hits].tolist(), high[hits].tolist()):
-                for k, i in zip(self.run_item[a:b].tolist(), self.run_place[a:b].tolist()):
-                    if k in wanted and done.get((k, j - i), -1) < j:
-                        n, upto = stretch(self.listed[k], w, i, j)
-                        done[(k, j - i)] = upto
-                        best[k] = max(best.get(k, 0), n)
-            out += [(d, k, n) for k, n in best.items() if n >= STRETCH]
-        return out
+            by_doc.setdefault(d, set()).add(k)
+        if not by_doc:
+            return []
+        # Runs of equal words in all these documents at once; -3 parts them, so that no run crosses two.
+        part = [np.r_[docs[d], -3] for d in by_doc]
+        first = np.cumsum([0, *(len(x) for x in part)])[:-1]
+        g = grams(np.concatenate(part))
+        low, high = np.searchsorted(self.run_hash, g, "left"), np.searchsorted(self.run_hash, g, "right")
+        hits = np.flatnonzero(high > low)
+        owner = np.searchsorted(first, hits, "right") - 1
+        names, texts, best, done = list(by_doc), {}, {}, {}
+        for o, j, a, b in zip(owner.tolist(), (hits - first[owner]).tolist(), low[hits].tolist(), high[hits].tolist()):
+            d = names[o]
+            wanted = by_doc[d]
+            for k, i in zip(self.run_item[a:b].tolist(), self.run_place[a:b].tolist()):
+                if k in wanted and done.get((d, k, j - i), -1) < j:
+                    if d not in texts:
+                        texts[d] = docs[d].tolist()
+                    n, upto = stretch(self.listed[k], texts[d], i, j)
+                    done[(d, k, j - i)] = upto
+                    best[(d, k)] = max(best.get((d, k), 0), n)
+        return [(d, k, n) for (d, k), n in best.items() if n >= STRETCH]
 
 
 def expand(start: np.ndarray, size: np.ndarray) -> np.ndarray:
