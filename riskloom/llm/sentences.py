@@ -313,7 +313,6 @@ def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     n: dict[str, Counter] = {"w": Counter(), "f": Counter(), "a": Counter(), "g": Counter()}
     opens: dict[str, Counter] = {"w": Counter(), "f": Counter(), "a": Counter(), "g": Counter()}
     after = re.compile(r"(?:[.!?…][\"”»’]|…|\.\.\.)\s+([a-zà-ÿа-яα-ω]\w*)")
-    short = re.compile(r"(?<![\w.])(" + "|".join(re.escape(x) for x in sorted(OUTER, key=len, reverse=True)) + r")\.\s+([^\W\d_])", re.I)
     first = re.compile(r"(?:^|\n[^\S\n]*\n)[^\S\n]*(?:[>#*/-]+[^\S\n]+|\d+\)[^\S\n]+)*([a-zà-ÿа-яα-ω][\w-]*)")
     sure = re.compile("(?:^|\n\\s*\n|[。！？])\\s*([぀-ヿ㐀-鿿]{1,4})")
 
@@ -328,9 +327,11 @@ def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             opens["w"].update(first.findall(t))
             n["w"].update(re.findall(r"(?<!\S)[a-zà-ÿа-яα-ω][\w-]*", t))
             n["f"].update(after.findall(t))
-            for w, c in short.findall(t):
-                n["a"][w.lower()] += 1
-                opens["a"][w.lower()] += c.isupper()
+            words = t.split()
+            for w, nxt in zip(words, words[1:]):
+                if w[-1] == "." and len(w) < 9 and nxt[0].isalpha() and (w := w[:-1].lower().lstrip("\"'(“„«")) in OUTER:
+                    n["a"][w] += 1
+                    opens["a"][w] += nxt[0].isupper()
             if _SPACELESS.search(t):
                 for r in _RUN.findall(t):
                     n["g"].update(r[i : i + k] for k in (1, 2, 3, 4) for i in range(len(r) - k + 1))
