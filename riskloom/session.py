@@ -5,11 +5,30 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers, once per application, unless PYTHONPATH already does."""
+    root = Path(__file__).resolve().parent.parent
+    app = spark.sparkContext.applicationId
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or app in _SHIPPED:
+        return
+    at = Path(tempfile.mkdtemp(prefix="riskloom-package-")) / "riskloom.zip"  # on the driver only; Spark serves it to the executors
+    with zipfile.ZipFile(at, "w") as z:
+        for p in sorted((root / "riskloom").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    spark.sparkContext.addPyFile(str(at))
+    _SHIPPED.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table `name` of a data folder; column pruning and filters reach this scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
