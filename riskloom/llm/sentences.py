@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import math
 import re
-import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -380,8 +379,3 @@ def sentence_table(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             yield pd.DataFrame({"doc_id": np.repeat(pdf["doc_id"].to_numpy(), [len(s) for s in spans]), "start_pos": flat[:, 0], "end_pos": flat[:, 1]})
 
     return source.mapInPandas(run, "doc_id bigint, start_pos int, end_pos int")
-
-
-def folded(text: str) -> str:
-    """Compatibility-normal, caseless text without invisible characters."""
-    return _INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).casefold()
