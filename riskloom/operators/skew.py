@@ -34,34 +34,50 @@ def heavy_keys(df: DataFrame, key: str, min_share: float) -> DataFrame:
     return counts.filter("__key is not null").filter(share >= min_share).select(F.col("__key").alias("heavy_key"), F.col("__n").alias("rows"), share.alias("share"))
 
 
-def with_salt(df: DataFrame, key: str, salts: int = 32, heavy_share: float = 0.01, salt_on: Sequence[str] | None = None) -> DataFrame:
-    """Adds the salt: 0 .. salts - 1 in rows of heavy or null keys, 0 in others.
+def with_salt(df: DataFrame, key: str, salts: int | None = None, heavy_share: float = 0.01, salt_on: Sequence[str] | None = None) -> DataFrame:
+    """Adds the salt: 0 .. salts - 1 in rows of heavy or null keys, 0 in others; by default two salts for each shuffle partition.
 
     The list of heavy keys is broadcast; it has at most 1 / heavy_share rows.
     """
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in (salt_on or df.columns)]), F.lit(salts)).cast("int")
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in (salt_on or df.columns)]), F.lit(salts or pieces(df, 32, 16_384))).cast("int")
     heavy = heavy_keys(df, key, heavy_share).select(F.col("heavy_key").alias("__heavy"))
     joined = df.join(F.broadcast(heavy), df[key] == F.col("__heavy"), "left")
     is_hot = F.col("__heavy").isNotNull() | F.col(key).isNull()
     return joined.withColumn(SALT, F.when(is_hot, spread).otherwise(F.lit(0))).drop("__heavy")
 
 
-def salted_aggregate(df: DataFrame, key: str, partial: dict[str, Column], merge: dict[str, Column], salts: int = 32, heavy_share: float = 0.01, salt_on: Sequence[str] | None = None) -> DataFrame:
+def salted_aggregate(df: DataFrame, key: str, partial: dict[str, Column], merge: dict[str, Column], salts: int | None = None, heavy_share: float = 0.01, salt_on: Sequence[str] | None = None) -> DataFrame:
     """`partial` per (key, salt), then `merge` per key over the partial columns."""
     first = with_salt(df, key, salts, heavy_share, salt_on).groupBy(key, SALT).agg(*[c.alias(n) for n, c in partial.items()])
     return first.groupBy(key).agg(*[c.alias(n) for n, c in merge.items()])
 
 
-def salted_count(df: DataFrame, key: str, salt_on: Sequence[str], salts: int = 32, heavy_share: float = 0.01) -> DataFrame:
+def salted_count(df: DataFrame, key: str, salt_on: Sequence[str], salts: int | None = None, heavy_share: float = 0.01) -> DataFrame:
     """(key, n): rows per key."""
     return salted_aggregate(df.select(key, *[c for c in salt_on if c != key]), key, {"n0": F.count(F.lit(1))}, {"n": F.sum("n0")}, salts, heavy_share, salt_on)
 
 
-def quantile_slices(df: DataFrame, column: Column, slices: int = 64) -> Column:
-    """The number of the slice a value lies in, cut at about equal counts; nulls lie in slice 0. At most `slices` cuts come to the driver."""
-    value = column.cast("double")
-    cuts = sorted(set(df.select(value.alias("v")).approxQuantile("v", [i / slices for i in range(1, slices)], 0.002)))
-    return F.coalesce(sum(((value >= c).cast("int") for c in cuts), F.lit(0)), F.lit(0))
+def pieces(df: DataFrame, least: int, most: int) -> int:
+    """Into how many pieces a hot group is cut: two for each shuffle partition, within bounds."""
+    return min(most, max(least, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def quantile_slices(df: DataFrame, column: Column, slices: int | None = None) -> Column:
+    """The number of the slice a value lies in, cut at about equal counts; nulls lie in slice 0.
+
+    At most `slices` cuts (64 to 1024, by the shuffle partitions) come to the
+    driver; a row finds its slice in a binary tree of comparisons.
+    """
+    value, slices = column.cast("double"), slices or pieces(df, 64, 1024)
+    cuts = sorted(set(df.select(value.alias("v")).approxQuantile("v", [i / slices for i in range(1, slices)], min(0.002, 0.25 / slices))))
+
+    def place(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value < cuts[middle], place(low, middle)).otherwise(place(middle + 1, high))
+
+    return F.when(value.isNull(), F.lit(0)).otherwise(place(0, len(cuts)))
 
 
 def sliced_running(df: DataFrame, keys: Sequence[str], slice_no: Column, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
@@ -89,7 +105,7 @@ def sliced_running(df: DataFrame, keys: Sequence[str], slice_no: Column, order:
     return done.select(*[F.col(c) for c in df.columns if c not in names], *[(F.coalesce(F.col(f"__r_{n}"), F.lit(0)) + F.col(f"__b_{n}")).alias(n) for n in names])
 
 
-def earlier_rows(df: DataFrame, key: str, order: str, tie: str, out: str, slices: int = 64) -> DataFrame:
+def earlier_rows(df: DataFrame, key: str, order: str, tie: str, out: str, slices: int | None = None) -> DataFrame:
     """Adds the number of earlier rows of the same key, in the order (order, tie).
 
     A row with a null key gets null. `tie` has to be unique within equal values
@@ -102,7 +118,7 @@ def earlier_rows(df: DataFrame, key: str, order: str, tie: str, out: str, slices
     return done.withColumn(out, F.col(out) - 1).select(*kept, out).unionByName(rest.select(*kept, out))
 
 
-def next_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, slices: int = 64) -> DataFrame:
+def next_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, slices: int | None = None) -> DataFrame:
     """Adds `value` of the next row of the same keys, in the order of `order` (its first column has to be a timestamp or number).
 
     Works in slices of the first order column: `lead` within (keys, slice), and
