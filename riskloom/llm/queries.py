@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import leakage, mixing, overlaps, personal, quantiles, sentences, splits
@@ -33,9 +33,14 @@ def p2_same_hash(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("row_id_a"), F.col("id_b").alias("row_id_b"))
 
 
+def commit_records() -> list[Column]:
+    """What tells a commit: its hash, and seq, which numbers it also where its hash is null or another."""
+    return [overlaps.hash_key("hash"), F.col("seq").cast("string")]
+
+
 def by_author(spark: SparkSession, d: str) -> DataFrame:
-    rows = splits.keyed_authors(commits(spark, d, "row_id", "hash", "author", "risky"), "author")
-    return splits.assign_splits(rows, "row_id", F.col("author_key"), overlaps.hash_key("hash"), "risky")
+    rows = splits.keyed_authors(commits(spark, d, "row_id", "hash", "seq", "author", "risky"), "author")
+    return splits.assign_splits(rows, "row_id", F.col("author_key"), commit_records(), "risky")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -47,8 +52,8 @@ def p3_split_by_author(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_split_by_repo(spark: SparkSession, d: str) -> DataFrame:
-    rows = commits(spark, d, "row_id", "hash", "source_repo", "risky")
-    return splits.assign_splits(rows, "row_id", F.col("source_repo"), overlaps.hash_key("hash"), "risky").select("row_id", "split", "component")
+    rows = commits(spark, d, "row_id", "hash", "seq", "source_repo", "risky")
+    return splits.assign_splits(rows, "row_id", F.col("source_repo"), commit_records(), "risky").select("row_id", "split", "component")
 
 
 def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Splits that keep related records together: train, validation and test by whole components.
 
 Records that share a unit (an author, however written, or a repository) or a
-commit form a component. Components are found by large-star and small-star
+commit (known by its hash, by the number it was mined under, or both) form a
+component. Components are found by large-star and small-star
 rounds over the links between units, all in tables.
 
 The search exchanges whole components. Heavy components, at most
@@ -91,17 +92,17 @@ def connected(links: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def with_components(df: DataFrame, row_id: str, unit: Column, record: Column) -> DataFrame:
-    """Adds __component: rows of one unit (string, null for none) or one record (string, null for none) share it."""
+def with_components(df: DataFrame, row_id: str, unit: Column, *records: Column) -> DataFrame:
+    """Adds __component: rows of one unit (string, null for none) or one value of any of the records (strings, null for none) share it."""
     own = F.concat(F.lit("row:"), F.col(row_id).cast("string"))
-    node = F.coalesce(F.concat(F.lit("unit:"), unit), F.concat(F.lit("record:"), record), own)
-    base = df.withColumn("__node", node).withColumn("__record", record)
+    named = [F.concat(F.lit(f"record{i or ''}:"), r) for i, r in enumerate(records)]
+    base = df.withColumn("__node", F.coalesce(F.concat(F.lit("unit:"), unit), *named, own)).withColumn("__records", F.array_compact(F.array(*named)))
     # Partial minima leave each task before the shuffle: one record's rows are never gathered.
-    per_record = base.filter("__record is not null").groupBy("__record", "__node").agg(F.lit(1).alias("__one"))
+    per_record = base.select(F.explode("__records").alias("__record"), "__node").groupBy("__record", "__node").agg(F.lit(1).alias("__one"))
     first = per_record.groupBy("__record").agg(F.min("__node").alias("a"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("__record", "a")
     roots = connected(per_record.join(first, "__record").select("a", F.col("__node").alias("b")))
     roots = roots.select(F.col("node").alias("__root_of"), F.col("component").alias("__root"))
-    return base.join(roots, base["__node"] == roots["__root_of"], "left").withColumn("__component", F.coalesce("__root", "__node")).drop("__root_of", "__root", "__node", "__record")
+    return base.join(roots, base["__node"] == roots["__root_of"], "left").withColumn("__component", F.coalesce("__root", "__node")).drop("__root_of", "__root", "__node", "__records")
 
 
 def deviation(sizes: np.ndarray, ones: np.ndarray, shares: np.ndarray, total: float, label: float) -> float:
@@ -144,10 +145,10 @@ def anneal(n: np.ndarray, ones: np.ndarray, shares: np.ndarray, seed: int, steps
     return best, kept
 
 
-def assign_splits(df: DataFrame, row_id: str, unit: Column, record: Column, label: str, shares: tuple[float, ...] = (0.8, 0.1, 0.1), chains: int = 12, steps: int = 6000, seed: int = 42) -> DataFrame:
-    """`df` with `split`: whole components in proportions `shares`, label shares about equal."""
+def assign_splits(df: DataFrame, row_id: str, unit: Column, record: Column | list[Column], label: str, shares: tuple[float, ...] = (0.8, 0.1, 0.1), chains: int = 12, steps: int = 6000, seed: int = 42) -> DataFrame:
+    """`df` with `split`: whole components in proportions `shares`, label shares about equal. `record` may be several keys, each of which alone tells a commit."""
     spark = df.sparkSession
-    rows = materialise(with_components(df, row_id, unit, record), "components")
+    rows = materialise(with_components(df, row_id, unit, *(record if isinstance(record, list) else [record])), "components")
     sizes = rows.groupBy("__component").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("ones"))
     total = rows.count()
     bucket = F.concat(F.lit("b"), F.pmod(F.xxhash64("__component"), F.lit(BUCKETS)).cast("string"))

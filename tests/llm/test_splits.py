@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.llm.overlaps import hash_key
-from riskloom.llm.splits import anneal, assign_splits, connected, keyed_authors, name_key, split_report, variant_pairs
+from riskloom.llm.queries import QUERIES
+from riskloom.llm.splits import anneal, assign_splits, connected, keyed_authors, name_key, split_report, variant_pairs, with_components
 
 SAME = ["José Kopibek", "JOSÉ KOPIBEK", "Jose Kopibek", "José Kopibek", "Kopibek, José", "jose.kopibek", "jose_kopibek", "José Kopibek", "José  Kopibek ", "José Kopibek <j@example.org>", "José Kopibek (on leave)", "José Kopibek".encode().decode("latin-1"), "José Kopibek [x]"]
 
@@ -82,3 +83,17 @@ def test_annealing_keeps_the_best():
     cost, at = anneal(n, ones, np.array([0.8, 0.1, 0.1]), 1, 2000)
     sizes = np.bincount(at, n, 3)
     assert abs(sizes[0] - 160) <= 10 and cost < 0.2
+
+
+def test_a_commit_under_another_hash_stays_together(spark):
+    rows = [(0, "ann", "a" * 12, "1"), (1, None, "b" * 12, "1"), (2, None, None, "1"), (3, "bob", "b" * 12, None), (4, None, None, "2"), (5, None, None, None), (6, "cid", None, "2"), (7, None, "c" * 12, "3")]
+    df = spark.createDataFrame(rows, "row_id int, author string, hash string, seq string")
+    got = {r.row_id: r["__component"] for r in with_components(df, "row_id", F.col("author"), hash_key("hash"), F.col("seq")).collect()}
+    assert len({got[i] for i in (0, 1, 2, 3)}) == 1 and got[4] == got[6] and len(set(got.values())) == 4
+
+
+@pytest.mark.parametrize("query", ["p3_split_by_author", "p3_split_by_repo"])
+def test_rows_of_one_seq_get_one_split(spark, query):
+    d = "/root/testdata/sf0.1"
+    rows = QUERIES[query](spark, d).join(spark.read.parquet(f"{d}/commit_features.parquet").select("row_id", "seq"), "row_id")
+    assert rows.count() == 40000 and rows.groupBy("seq").agg(F.count_distinct("split", "component").alias("k")).filter("k > 1").count() == 0
