@@ -8,7 +8,10 @@ segments at most, so texts within three changed words agree in at least eight
 symbols, and in one of the seven pairs (0, 1), (2, 3) and so on: joining the
 splits on the codes of the pairs, and keeping what lies within the Hamming radius
 of six symbols, finds every such text, unless the agreeing pair has no word in
-either text. What is left is verified word by word.
+either text. Texts with such a pair, mostly short ones, are joined on blocks of
+words as well: a training text is cut into four blocks, of which three changes
+leave one whole, and an evaluation text is looked up by every stretch of words
+that can be that block. What is left is verified word by word.
 
 Equal normalised texts form one class first: fingerprints, joins and checks work
 on classes, and only the result is expanded to rows.
@@ -144,6 +147,39 @@ def fingerprints(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.nda
     return code, keys, counts.sum(axis=2)
 
 
+def _block_key(number: int, n: int, words: list[str]) -> int:
+    return xxhash.xxh64_intdigest(f"{number} {n} {' '.join(words)}")
+
+
+def block_keys(words: list[str], most: int) -> list[int]:
+    """Keys of the most + 1 even blocks of a text; of its single words, if there are no more of them than `most`."""
+    n = len(words)
+    if n <= most:
+        return [_block_key(-1, n, [w]) for w in set(words)]
+    cuts = [n * i // (most + 1) for i in range(most + 2)]
+    return [_block_key(i, n, words[cuts[i] : cuts[i + 1]]) for i in range(most + 1)]
+
+
+def probe_keys(words: list[str], most: int) -> list[int]:
+    """Keys of which one at least is in `block_keys` of each text that `most` words to change, drop or add turn into this one, and that shares a word with it.
+
+    Of the blocks of the other text, one is whole, has just as many changes before it
+    as its number and at most the rest of them behind it. So it is moved by no more
+    than its number, and by no more than the rest from its distance to the end.
+    """
+    out = set()
+    for n in range(max(1, len(words) - most), len(words) + most + 1):
+        if n <= most:
+            out.update(_block_key(-1, n, [w]) for w in set(words))
+            continue
+        longer = len(words) - n
+        for i in range(most + 1):
+            lo, hi = n * i // (most + 1), n * (i + 1) // (most + 1)
+            for by in range(max(-i, longer - (most - i), -lo), min(i, longer + (most - i), len(words) - hi) + 1):
+                out.add(_block_key(i, n, words[lo + by : hi + by]))
+    return list(out)
+
+
 def symbols_apart(a: Column, b: Column) -> Column:
     """The Hamming distance of two fingerprints in symbols."""
     x = a.bitwiseXOR(b)
@@ -152,8 +188,8 @@ def symbols_apart(a: Column, b: Column) -> Column:
     return F.bit_count(x.bitwiseAND(F.lit(0x0011111111111111)))
 
 
-def fingerprint_rows(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
-    """(id, text, side) to (id, side, class, words, normal text, fingerprint, join keys)."""
+def fingerprint_rows(batches: Iterator[pd.DataFrame], least: int, most: int) -> Iterator[pd.DataFrame]:
+    """(id, text, side) to (id, side, class, words, normal text, fingerprint, join keys, block keys). Block keys are those of the side, null where each pair has words."""
     for pdf in batches:
         pdf = pdf[[isinstance(t, str) and len(t.split()) >= least for t in pdf["text"]]]
         for at in range(0, len(pdf), 2000):
@@ -162,16 +198,16 @@ def fingerprint_rows(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd
             depth = [reverts(t) for t in part["text"]]
             slots = [bumps(t) for t in part["text"]]
             code, keys, counts = fingerprints(words)
-            out = []
-            for k, f, d, s in zip(keys, counts > 0, depth, slots):
-                own = k[f]
-                own = np.concatenate([_mix(own, np.full(len(own), xxhash.xxh64_intdigest(f"{d} {x}"), np.uint64)) for x in (s or [""])])
-                out.append(own.view(np.int64))
+            out, blocks = [], []
+            for k, f, d, s, w, side in zip(keys, counts > 0, depth, slots, words, part["side"]):
+                of_kind = lambda own: np.concatenate([_mix(own, np.full(len(own), xxhash.xxh64_intdigest(f"{d} {x}"), np.uint64)) for x in (s or [""])]).view(np.int64)  # noqa: B023, E731
+                out.append(of_kind(k[f]))
+                blocks.append(None if f.all() else of_kind(np.array((block_keys if side == 1 else probe_keys)(w, most), dtype=np.uint64)))
             text = [" ".join(w) for w in words]
             yield pd.DataFrame({
                 "id": part["id"].to_numpy(), "side": part["side"].to_numpy(),
                 "cls": np.array([xxhash.xxh64_intdigest(f"{d}|{'|'.join(s)}|{t}") for t, d, s in zip(text, depth, slots)], dtype=np.uint64).view(np.int64),
-                "n": np.array([len(w) for w in words], dtype=np.int32), "normal": text, "code": code.view(np.int64), "keys": out,
+                "n": np.array([len(w) for w in words], dtype=np.int32), "normal": text, "code": code.view(np.int64), "keys": out, "blocks": blocks,
             })
 
 
@@ -182,13 +218,17 @@ def text_classes(df: DataFrame, row_id: str, text: str, split: str, least: int =
     """
     known = F.col(split).isin("train", "validation", "test") & F.col(text).isNotNull()
     rows = df.filter(known).select(F.col(row_id).cast("bigint").alias("id"), F.col(text).alias("text"), F.when(F.col(split) == "train", 1).otherwise(2).cast("int").alias("side"))
-    made = spread(rows, "id").mapInPandas(lambda it: fingerprint_rows(it, least), "id bigint, side int, cls bigint, n int, normal string, code bigint, keys array<bigint>")
+    made = spread(rows, "id").mapInPandas(lambda it: fingerprint_rows(it, least, most), "id bigint, side int, cls bigint, n int, normal string, code bigint, keys array<bigint>, blocks array<bigint>")
     made = materialise(made, "fingerprints")
-    classes = made.groupBy("cls").agg(F.bit_or("side").alias("sides"), F.first("n").alias("n"), F.first("code").alias("code"), F.first("keys").alias("keys"))
-    keyed = classes.select("cls", "sides", F.col("n").cast("smallint").alias("n"), "code", F.explode("keys").alias("key"))
-    left = keyed.select("key", *[F.col(c).alias(f"{c}_a") for c in ("cls", "sides", "n", "code")])
-    right = keyed.select("key", *[F.col(c).alias(f"{c}_b") for c in ("cls", "sides", "n", "code")])
-    met = left.filter(F.col("sides_a").bitwiseAND(1) != 0).join(right.filter(F.col("sides_b").bitwiseAND(2) != 0), "key")
+    of_side = lambda side: F.first(F.when(F.col("side") == side, F.col("blocks")), ignorenulls=True).alias(f"blocks_{side}")
+    classes = made.groupBy("cls").agg(F.bit_or("side").alias("sides"), F.first("n").alias("n"), F.first("code").alias("code"), F.first("keys").alias("keys"), of_side(1), of_side(2))
+    none = F.array().cast("array<bigint>")
+
+    def keyed(side: int, end: str) -> DataFrame:
+        keys = F.explode(F.concat("keys", F.coalesce(f"blocks_{side}", none))).alias("key")
+        return classes.filter(F.col("sides").bitwiseAND(side) != 0).select(F.col("cls").alias(f"cls_{end}"), F.col("n").cast("smallint").alias(f"n_{end}"), F.col("code").alias(f"code_{end}"), keys)
+
+    met = keyed(1, "a").join(keyed(2, "b"), "key")
     near = (F.col("cls_a") != F.col("cls_b")) & (F.abs(F.col("n_a") - F.col("n_b")) <= most) & (symbols_apart(F.col("code_a"), F.col("code_b")) <= 2 * most)
     pairs = materialise(met.filter(near).select("cls_a", "cls_b").distinct(), "candidates")
     wanted = pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from riskloom.llm.overlaps import SEGMENTS, bumps, cross_split_overlaps, fingerprints, hash_overlaps, normal_words, overlap_report, overlap_rows, reverts, same_text, text_overlaps, word_edits
+from riskloom.llm.overlaps import SEGMENTS, block_keys, bumps, cross_split_overlaps, fingerprints, hash_overlaps, normal_words, overlap_report, overlap_rows, probe_keys, reverts, same_text, text_overlaps, word_edits
 
 SCHEMA = "row_id long, hash string, commit_msg string, data_split string, source_repo string, risky int"
 BASE = "Fix the login form so that wrong passwords are logged once per session and never shown again to anyone"
@@ -106,3 +106,26 @@ def test_a_changed_word_touches_two_symbols_at_most():
     apart = sum(((int(code[0]) ^ int(code[1])) >> (4 * k)) & 15 > 0 for k in range(SEGMENTS))
     assert apart <= 2 and (keys[0] == keys[1]).sum() >= 5
     assert reverts('Revert "Revert "x""') == 2 and reverts("Reverting is bad") == 1 and reverts("Fix") == 0
+
+
+def test_short_texts_within_three_words_are_all_found(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(1500):  # three changed words of 12: segment pairs alone lose about 3 %
+        text = [f"v{rng.randrange(10**6)}" for _ in range(12)]
+        new = list(text)
+        for at in rng.sample(range(12), 3):
+            new[at] = f"v{rng.randrange(10**6)}"
+        rows += [(None, " ".join(text), "train"), (None, " ".join(new), "test")]
+    assert pairs(text_overlaps(table(spark, rows), "row_id", "commit_msg", "data_split")) == {(i, i + 1) for i in range(0, len(rows), 2)}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abcdef"), min_size=1, max_size=16), st.lists(st.tuples(st.sampled_from(["put", "drop", "change"]), st.integers(0, 16), st.sampled_from("abcdef")), max_size=3))
+def test_three_edits_leave_a_block(text, edits):
+    new = list(text)
+    for how, at, word in edits:
+        at = min(at, len(new) - (how != "put"))
+        new[max(at, 0) : max(at, 0) + (how != "put")] = [] if how == "drop" else [word]
+    for a, b in ((text, new), (new, text)):
+        assert set(block_keys(a, 3)) & set(probe_keys(b, 3)) or word_edits(a, b, 3) >= max(len(a), len(b))
