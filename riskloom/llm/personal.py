@@ -9,6 +9,9 @@ in "a person", is the term's disclosure. Terms above the threshold are given
 names; frequent terms below it are ordinary words; a given name beside a word
 that is not ordinary is a name. In capitals or in small letters throughout, the
 word beside it must not be one that the corpus often has in small letters.
+A name in a place beyond doubt is reported whatever the counts say. Given names
+are those that open two certain names or more; the frequent ones are sent to each
+task, the others are joined to the texts that hold them.
 
 Defined results: null or empty text stays as it is and has no finding; whole
 texts are read; repeated rows each count; extra columns stay.
@@ -34,7 +37,7 @@ PLACEHOLDER = {t: f"[{t.upper()}]" for t in TYPES}
 
 #: Share of the information in "a person" that a term has to disclose.
 DISCLOSURE = 0.5
-#: A given name opens at least this share of the certain names, an ordinary word is at least this share of the capitalised words: 1 / share bounds both lists.
+#: A given name that opens at least this share of the certain names is sent to each task, a rarer one is joined; an ordinary word is at least this share of the capitalised words: 1 / share bounds both lists.
 LEAST_NAME, LEAST_WORD = 1e-5, 1e-4
 #: A common word is at least this share of the words in small letters, and seen OFTEN times.
 LEAST_COMMON, OFTEN = 2e-6, 20
@@ -83,6 +86,10 @@ _BEFORE = re.compile(rf"(?<!\w)({_CAP}),\s$")
 _AFTER_PRODUCT = re.compile(r"\s+(?:release|milestone|theme|edition)\b")
 
 
+def _may_be_certain(text: str) -> bool:
+    return "by:" in text or "=" in text or "@" in text or '"' in text or ",\n" in text
+
+
 def term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(text) to (small, term, n, opens, ends), summed over a task: capitalised terms and how often they open and end a certain name; words in small letters."""
     n, opens, ends, small = Counter(), Counter(), Counter(), Counter()
@@ -97,7 +104,7 @@ def term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if t:
                 n.update(_TERM.findall(t.replace("_", " ")))
                 small.update(_LOWER.findall(t))
-                if "by:" in t or "=" in t or "@" in t or '"' in t or ",\n" in t:
+                if _may_be_certain(t):
                     for m in _CERTAIN.finditer(t):
                         opens[m["a"] or m["b"]] += 1
                         ends[m["c"] or m["d"]] += 1
@@ -109,34 +116,64 @@ def term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def disclosures(texts: DataFrame) -> DataFrame:
-    """Terms frequent enough to judge, from a table with a column `text`: (small, term, n, opens, named, disclosure, as_opening).
+    """Terms frequent enough to judge, from a table with a column `text`: (small, term, n, opens, named, listed, disclosure, as_opening).
 
-    disclosure: of the term anywhere in a name; as_opening: where it opens one.
+    listed: of a share that bounds the list, whatever the corpus; disclosure: of the term anywhere in a name; as_opening: where it opens one.
     """
     counts = texts.mapInPandas(term_counts, "small boolean, term string, n bigint, opens bigint, ends bigint").groupBy("small", "term").agg(*[F.sum(c).alias(c) for c in ("n", "opens", "ends")])
     counts = materialise(counts, "terms")  # used twice
     total = scalars(counts, n=F.sum(F.when(~F.col("small"), F.col("n"))), small=F.sum(F.when(F.col("small"), F.col("n"))), opens=F.sum("opens"))
     person = total["opens"] / total["n"]
     share = lambda k: F.when(k > 0, F.log2((k / F.col("n")) / person) / -F.log2(person)).otherwise(F.lit(0.0))
-    named = F.col("opens") >= F.greatest(F.lit(2), LEAST_NAME * total["opens"])
+    named = F.col("opens") >= 2
+    frequent = named & (F.col("opens") >= LEAST_NAME * total["opens"])
     often = F.when(F.col("small"), F.col("n") >= F.greatest(F.lit(OFTEN), LEAST_COMMON * total["small"])).otherwise(F.col("n") >= F.greatest(F.lit(2), LEAST_WORD * total["n"]))
     return (
         counts.filter(named | often)
-        .select("small", "term", "n", "opens", named.alias("named"), share(F.col("opens") + F.col("ends")).alias("disclosure"), share(F.col("opens")).alias("as_opening"))
+        .select("small", "term", "n", "opens", named.alias("named"), (frequent | often).alias("listed"), share(F.col("opens") + F.col("ends")).alias("disclosure"), share(F.col("opens")).alias("as_opening"))
     )
 
 
-def judged_terms(texts: DataFrame) -> tuple[frozenset[str], frozenset[str], frozenset[str]]:
-    """Given names, ordinary and common words: at most 1 / LEAST_NAME, 1 / LEAST_WORD and 1 / LEAST_COMMON terms, whatever the corpus."""
+def judged(texts: DataFrame) -> tuple[tuple[frozenset[str], frozenset[str], frozenset[str]], DataFrame]:
+    """The lists of `judged_terms`, and (term): the given names too rare for the list, however many."""
+    terms = disclosures(texts)
+    is_given = F.col("named") & (F.col("as_opening") >= DISCLOSURE)
     given, ordinary, common = [], [], []
-    for r in disclosures(texts).select("small", "term", (F.col("named") & (F.col("as_opening") >= DISCLOSURE)).alias("given"), (F.col("disclosure") < DISCLOSURE).alias("ordinary")).toLocalIterator():
+    for r in terms.filter("listed").select("small", "term", is_given.alias("given"), (F.col("disclosure") < DISCLOSURE).alias("ordinary")).toLocalIterator():
         if r.small:
             common.append(r.term)
         elif r.given:
             given.append(r.term)
         elif r.ordinary:
             ordinary.append(r.term)
-    return frozenset(given), frozenset(ordinary), frozenset(common)
+    return (frozenset(given), frozenset(ordinary), frozenset(common)), terms.filter(~F.col("listed") & ~F.col("small") & is_given).select("term")
+
+
+def judged_terms(texts: DataFrame) -> tuple[frozenset[str], frozenset[str], frozenset[str]]:
+    """Given names, ordinary and common words: at most 1 / LEAST_NAME + 1 / LEAST_WORD, 1 / LEAST_WORD + 1 / LEAST_NAME and 1 / LEAST_COMMON terms, whatever the corpus."""
+    return judged(texts)[0]
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _words_of(texts: pd.Series) -> pd.Series:
+    """The words of a text in small letters, each once."""
+    found = ({w for m in _WORD.findall(t.replace("_", " ")) for w in (m.lower(), m.capitalize().lower())} | set(_LOWER.findall(t)) if t else set() for t in texts)
+    return pd.Series([sorted(x) for x in found], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def _in_small(terms: pd.Series) -> pd.Series:
+    return terms.str.lower()
+
+
+def with_rare(df: DataFrame, text: str, rare: DataFrame) -> DataFrame:
+    """Adds __rare: the rare given names that the row's text holds, null for none. Rows that share a hash may share names; a name that a text does not hold changes nothing in it."""
+    if rare.isEmpty():
+        return df.withColumn("__rare", F.lit(None).cast("array<string>"))
+    row = F.xxhash64(*[f.name for f in df.schema if isinstance(f.dataType, T.AtomicType)])  # of the whole row: no hot text
+    words = df.select(row.alias("__row"), F.explode(_words_of(F.col(text))).alias("__word"))
+    held = words.join(rare.select("term", _in_small(F.col("term")).alias("__word")), "__word").groupBy("__row").agg(F.collect_set("term").alias("__rare"))
+    return df.withColumn("__row", row).join(held, "__row", "left").drop("__row")
 
 
 def _remote(text: str, m: re.Match) -> bool:
@@ -145,7 +182,7 @@ def _remote(text: str, m: re.Match) -> bool:
     return (rest[:1] == ":" and rest[1:2].strip() != "" and m.group().count(" ") == 0 and re.match(r":[\w~.-]*[/\d]", text[m.end() : m.end() + 80]) is not None) or text[max(0, m.start() - 3) : m.start()] == "://"
 
 
-def find_personal(text: str, given: frozenset[str], ordinary: frozenset[str], common: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
+def find_personal(text: str, given: frozenset[str], ordinary: frozenset[str], common: frozenset[str] = frozenset(), rare: frozenset[str] = frozenset()) -> list[tuple[int, int, str]]:
     """Spans (start, end, type) in order, none in another."""
     out: list[tuple[int, int, str]] = []
     low = text.lower()
@@ -171,24 +208,30 @@ def find_personal(text: str, given: frozenset[str], ordinary: frozenset[str], co
     for m in _WORD.finditer(plain):
         w = m.group()
         s, e = m.span()
-        if len(w) > 1 and w.isupper() and w.capitalize() in given and free(s, e):
+        if len(w) > 1 and w.isupper() and (w.capitalize() in given or w.capitalize() in rare) and free(s, e):
             other = lambda x: len(x) > 2 and x.isupper() and x.lower() not in common and x.capitalize() not in ordinary and x not in ordinary
             if (f := _BESIDE.match(text, e)) and other(f[1]) and free(s, f.end()):
                 out.append((s, f.end(), "name"))
             elif (b := _BEFORE.search(plain, max(0, s - 60), s)) and other(b[1]) and free(b.start(1), e):
                 out.append((b.start(1), e, "name"))
             continue
-        if w not in given or not free(s, e):
+        if (w not in given and w not in rare) or not free(s, e):
             continue
         if (f := _NEXT.match(text, e)) and f[1].split()[-1] not in ordinary and len(f[1]) > 1 and free(s, f.end()):
             if not _AFTER_PRODUCT.match(text, f.end()):
                 out.append((s, f.end(), "name"))
         elif (b := _BEFORE.search(plain, max(0, s - 60), s)) and b[1] not in ordinary and len(b[1]) > 1 and free(b.start(1), e):
             out.append((b.start(1), e, "name"))
-    if not _small(given).isdisjoint(text.split()):
-        for m in _LOWER.finditer(text):
-            if m.group() in _small(given) and (f := _BESIDE.match(text, m.end())) and f[1].islower() and f[1] not in common and free(m.start(), f.end()):
-                out.append((m.start(), f.end(), "name"))
+    for names in (_small(given), frozenset(g.lower() for g in rare)):
+        if not names.isdisjoint(text.split()):
+            for m in _LOWER.finditer(text):
+                if m.group() in names and (f := _BESIDE.match(text, m.end())) and f[1].islower() and f[1] not in common and free(m.start(), f.end()):
+                    out.append((m.start(), f.end(), "name"))
+    if _may_be_certain(text):
+        for m in _CERTAIN.finditer(text):
+            s, e = m.start("a" if m["a"] else "b"), m.end("c" if m["a"] else "d")
+            if free(s, e) and not _AFTER_PRODUCT.match(text, e):
+                out.append((s, e, "name"))
     return sorted(out)
 
 
@@ -208,26 +251,26 @@ def sanitise(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 def personal_types(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, pii_type): one row per type that a row's text holds."""
-    terms = judged_terms(texts.select(F.col(text).alias("text")))
+    terms, rare = judged(texts.select(F.col(text).alias("text")))
     schema = T.StructType([texts.schema[k] for k in keys] + [T.StructField("pii_type", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            kinds = [sorted({k for _, _, k in find_personal(t, *terms)}) if t else [] for t in pdf[text]]
+            kinds = [sorted({k for _, _, k in find_personal(t, *terms, frozenset(() if r is None else r))}) if t else [] for t, r in zip(pdf[text], pdf["__rare"])]
             at = np.repeat(np.arange(len(pdf)), [len(k) for k in kinds])
             out = pdf[keys].iloc[at].copy()
             out["pii_type"] = np.array([x for k in kinds for x in k], dtype=object)
             yield out
 
-    return spread(texts.select(*keys, text), keys[-1]).mapInPandas(run, schema)
+    return spread(with_rare(texts.select(*keys, text), text, rare), keys[-1]).mapInPandas(run, schema)
 
 
 def sanitised(df: DataFrame, text: str, out: str = "sanitised_text") -> DataFrame:
     """`df` with the text in which each finding is a placeholder."""
-    terms = judged_terms(df.select(F.col(text).alias("text")))
+    terms, rare = judged(df.select(F.col(text).alias("text")))
 
     @F.pandas_udf(T.StringType())
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([sanitise(t, find_personal(t, *terms)) if t else t for t in texts], dtype=object)
+    def clean(texts: pd.Series, rare: pd.Series) -> pd.Series:
+        return pd.Series([sanitise(t, find_personal(t, *terms, frozenset(() if r is None else r))) if t else t for t, r in zip(texts, rare)], dtype=object)
 
-    return df.withColumn(out, clean(F.col(text)))
+    return with_rare(df, text, rare).withColumn(out, clean(F.col(text), F.col("__rare"))).drop("__rare")

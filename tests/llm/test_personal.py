@@ -2,6 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from riskloom.llm import personal
 from riskloom.llm.personal import find_personal, judged_terms, personal_types, sanitise, sanitised
 
 GIVEN, ORDINARY = frozenset({"Hanna", "Jan", "Zoë"}), frozenset({"The", "On", "Please", "Road", "Thanks"})
@@ -56,3 +57,21 @@ def test_names_are_learned_from_the_corpus(spark):
     clean = {r.id: r.sanitised_text for r in sanitised(df, "text").collect()}
     assert clean[52] == "The [NAME] report. Thanks to [NAME]." and clean[53] is None and clean[54] == "" and len(clean) == 55
     assert personal_types(df.limit(0), ["id"]).count() == 0
+
+
+def test_certain_names_are_found_whatever_the_list():
+    none = frozenset()
+    assert find_personal("x\nSigned-off-by: Please Tajevos <p@x.example>", none, ORDINARY) == [(17, 31, "name"), (33, 44, "email")]
+    assert find_personal("owner=Silver Heron release", none, none) == []
+
+
+def test_rare_given_names_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(personal, "LEAST_NAME", 0.2)  # as 1e-5 and 1e-4 are for many more names and words
+    monkeypatch.setattr(personal, "LEAST_WORD", 0.2)
+    certain = [f"Signed-off-by: {g} Family{i} <a@b.example>" for i, g in [*enumerate(["Hanna"] * 20), (20, "Zoran"), (21, "Zoran")]]
+    plain = ["The gate Failed again in the Silver release."] * 40 + ["Thanks to Zoran Kubaso.", "thanks to zoran kubaso.", "ZORAN KUBASO", None, ""]
+    df = spark.createDataFrame(list(enumerate(certain + plain)), "id long, text string")
+    assert judged_terms(df.select("text"))[0] == {"Hanna"}
+    assert {r.id for r in personal_types(df, ["id"]).collect() if r.pii_type == "name"} == {*range(22), 62, 63, 64}
+    clean = {r.id: r.sanitised_text for r in sanitised(df, "text").collect()}
+    assert [clean[i] for i in range(62, 67)] == ["Thanks to [NAME].", "thanks to [NAME].", "[NAME]", None, ""] and len(clean) == 67
