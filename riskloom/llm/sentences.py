@@ -1,13 +1,14 @@
 """Sentences of texts in many languages and scripts, as spans of code points.
 
-Each gap at which a sentence could end is a node of a lattice over a block of
-text; a stretch between two nodes is a possible sentence only if it cuts no
-quotation or bracket that closes in the block. Gaps are judged by what stands on
-either side: the kind of end mark, abbreviations and numbers before it, and how
-often the word after it opens a block in the corpus. In scripts without spaces
-the words beside a gap come from a lattice of dictionary words, whose dictionary
-is counted in the corpus; the final particle before and the opening word after
-the gap decide. Thai is cut where a blank stands between two Thai letters.
+Each gap at which a sentence could end is judged by itself, in one pass of local
+rules; there are no scores and no best path over a lattice of gaps. A gap inside a
+quotation or bracket that closes in the block is none. What counts is what stands
+on either side: the kind of end mark, abbreviations and numbers before it, and how
+often the word after it opens a block in the corpus. In scripts without spaces a
+gap is an end at its mark; only after a closed quotation or dots of pause, where
+the fixed list of carrying words does not decide, do the words beside it come from
+a lattice of dictionary words, whose dictionary is counted in the corpus.
+Thai is cut where a blank stands between two Thai letters.
 
 The corpus counts cover all texts; only terms above a fixed share are kept,
 which bounds the lists whatever the corpus.
