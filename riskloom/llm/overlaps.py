@@ -100,10 +100,12 @@ def word_edits(a: list[str], b: list[str], most: int) -> int:
     return min(row[-1], most + 1)
 
 
-def same_text(a: str, b: str, most: int, share: float) -> bool:
-    """At most `most` words, and at most `share` of them, differ."""
+def same_text(a: str, b: str, most: int, share: float, least: int = 0) -> bool:
+    """At most `most` words, and at most `share` of them, differ, and one at least is kept. A stored message counts as `least` words or more, also where fewer are left of it."""
     x, y = a.split(" "), b.split(" ")
-    return word_edits(x, y, min(most, int(share * max(len(x), len(y))))) <= min(most, int(share * max(len(x), len(y))))
+    longer = max(len(x), len(y))
+    allowed = min(most, int(share * max(longer, least)), longer - 1)
+    return word_edits(x, y, allowed) <= allowed
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -236,7 +238,7 @@ def text_classes(df: DataFrame, row_id: str, text: str, split: str, least: int =
         wanted = F.broadcast(wanted)  # at most SMALL rows
     texts = made.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("normal").alias("normal"))
     pairs = pairs.join(texts.select(F.col("cls").alias("cls_a"), F.col("normal").alias("text_a")), "cls_a").join(texts.select(F.col("cls").alias("cls_b"), F.col("normal").alias("text_b")), "cls_b")
-    same = F.pandas_udf(lambda a, b: pd.Series([same_text(x, y, most, share) for x, y in zip(a, b)], dtype=bool), T.BooleanType())
+    same = F.pandas_udf(lambda a, b: pd.Series([same_text(x, y, most, share, least) for x, y in zip(a, b)], dtype=bool), T.BooleanType())
     links = pairs.filter(same("text_a", "text_b")).select("cls_a", "cls_b")
     equal = classes.filter(F.col("sides") == 3).select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b"))
     return made.select("id", "side", "cls"), links.unionByName(equal)

@@ -129,3 +129,10 @@ def test_three_edits_leave_a_block(text, edits):
         new[max(at, 0) : max(at, 0) + (how != "put")] = [] if how == "drop" else [word]
     for a, b in ((text, new), (new, text)):
         assert set(block_keys(a, 3)) & set(probe_keys(b, 3)) or word_edits(a, b, 3) >= max(len(a), len(b))
+
+
+def test_three_words_may_change_where_sign_offs_leave_fewer_than_twelve(spark):
+    text = "alpha beta gamma delta epsilon zeta eta theta\n\nSigned-off-by: A B <a@b.example>"
+    df = table(spark, [(None, text, "train"), (None, text.replace("beta", "x").replace("delta", "y").replace("theta", "z"), "test"), (None, "some quite other words stand in this one\n\nSigned-off-by: A B <a@b.example>", "test")])
+    assert pairs(cross_split_overlaps(df)) == {(0, 1)}
+    assert not same_text("a b", "c d", 3, 0.25, 12)
