@@ -57,6 +57,22 @@ def salted_count(df: DataFrame, key: str, salt_on: Sequence[str], salts: int | N
     return salted_aggregate(df.select(key, *[c for c in salt_on if c != key]), key, {"n0": F.count(F.lit(1))}, {"n": F.sum("n0")}, salts, heavy_share, salt_on)
 
 
+def skewed_join(many: DataFrame, few: DataFrame, key: str, salt_on: Sequence[str], how: str = "inner", heavy_share: float = 0.01) -> DataFrame:
+    """`many` joined with `few` (inner or left) on `key`, where a few keys may hold most rows of `many`.
+
+    Rows of `many` with a heavy key are spread over salts by a hash of `salt_on`,
+    and the rows of `few` with that key are repeated once for each salt. The list of
+    heavy keys is broadcast; it has at most 1 / heavy_share rows. Null keys meet nothing.
+    """
+    salts = pieces(many, 32, 16_384)
+    heavy = F.broadcast(heavy_keys(many, key, heavy_share).select(F.col("heavy_key").alias("__heavy")))
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in salt_on]), F.lit(salts)).cast("int")
+    at = many.join(heavy, many[key] == F.col("__heavy"), "left").withColumn(SALT, F.when(F.col("__heavy").isNotNull() | F.col(key).isNull(), spread).otherwise(F.lit(0))).drop("__heavy")
+    to = few.filter(F.col(key).isNotNull()).join(heavy, few[key] == F.col("__heavy"), "left")
+    to = to.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.when(F.col("__heavy").isNotNull(), F.lit(salts - 1)).otherwise(F.lit(0))))).drop("__heavy")
+    return at.join(to, [key, SALT], how).drop(SALT)
+
+
 def pieces(df: DataFrame, least: int, most: int) -> int:
     """Into how many pieces a hot group is cut: two for each shuffle partition, within bounds."""
     return min(most, max(least, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
