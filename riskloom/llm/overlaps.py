@@ -3,15 +3,17 @@
 Candidates come from similarity-hash fingerprints. A message is normalised to
 words (layout, case, punctuation, prefixes, references and sign-off lines go).
 Each word belongs, by its hash, to one of 14 segments; the fingerprint is the
-row of 4-bit similarity hashes of the segments. Changing a word touches two
-segments at most, so texts within three changed words agree in at least eight
-symbols, and in one of the seven pairs (0, 1), (2, 3) and so on: joining the
-splits on the codes of the pairs, and keeping what lies within the Hamming radius
-of six symbols, finds every such text, unless the agreeing pair has no word in
-either text. Texts with such a pair, mostly short ones, are joined on blocks of
-words as well: a training text is cut into four blocks, of which three changes
-leave one whole, and an evaluation text is looked up by every stretch of words
-that can be that block. What is left is verified word by word.
+row of their symbols, the 24-bit similarity hash of each segment's words. Changing a
+word touches two symbols at most, so texts within three changed words agree in
+at least eight symbols, and in one of the seven code blocks of symbols (0, 1),
+(2, 3) and so on. The splits are joined on the code blocks, and what lies within the
+Hamming radius of six symbols is kept. Keys that too many texts share are lengthened
+by further symbols, in a way that loses no pair within the radius. Texts with
+a code block of no word, mostly short ones, have no key of that block; they are
+joined on blocks by place as well: a training text is cut into four blocks of
+words, of which three changes leave one whole, and an evaluation text is looked
+up by every stretch of words that can be that block. What is left is verified
+word by word.
 
 Equal normalised texts form one class first: fingerprints, joins and checks work
 on classes, and only the result is expanded to rows.
@@ -34,11 +36,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.operators.skew import skewed_join
 from riskloom.session import materialise, spread
 
-SEGMENTS, BITS = 14, 4
-#: A class list up to this many rows is broadcast; a longer one is shuffled.
+SEGMENTS, BITS = 14, 24
+#: A list of classes or keys up to this many rows is broadcast; a longer one is shuffled.
 SMALL = 200_000
+#: A key that meets in more pairs than FEW is lengthened, at most DEPTH times; then its training side is split into salts of CHUNK classes.
+FEW, DEPTH, CHUNK = 10_000, 4, 2_000
 
 _TRAILER = re.compile(r"^[ \t>]*(?:[A-Za-z]+(?:-[A-Za-z]+)*-by|cc|refs?|references|fixes|closes|resolves|see[- ]also|issue|bug|ticket|change-id|reviewed-on|link|part-of)[ \t]*:.*$|\(?cherry[ -]picked from commit [0-9a-f]+\)?", re.I | re.M)
 _REFERENCE = re.compile(r"\(?\b(?:gh-|pr ?|issue ?)?#\d+\)?|\b[A-Z]{2,10}-\d+\b(?=\s*[:\]])")
@@ -100,23 +105,13 @@ def word_edits(a: list[str], b: list[str], most: int) -> int:
     return min(row[-1], most + 1)
 
 
-def same_text(a: str, b: str, most: int, share: float, least: int = 0) -> bool:
-    """At most `most` words, and at most `share` of them, differ, and one at least is kept. A stored message counts as `least` words or more, also where fewer are left of it."""
+def same_text(a: str, b: str, most: int) -> bool:
+    """At most `most` words differ, and one at least is kept."""
     x, y = a.split(" "), b.split(" ")
-    longer = max(len(x), len(y))
-    allowed = min(most, int(share * max(longer, least)), longer - 1)
+    allowed = min(most, max(len(x), len(y)) - 1)
     return word_edits(x, y, allowed) <= allowed
 
 
-def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of two arrays of 64-bit numbers."""
-    with np.errstate(over="ignore"):
-        x = a * np.uint64(0x9E3779B97F4A7C15) ^ (b + np.uint64(0x7F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        return x ^ (x >> np.uint64(32))
-
-
 _HASHES: dict[str, int] = {}
 
 
@@ -129,24 +124,19 @@ def _hash(word: str) -> int:
     return h
 
 
-def fingerprints(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text: the fingerprint, a 64-bit key of each pair of segments, and the pairs' numbers of words."""
+def fingerprints(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text: the fingerprint as blocks of two symbols, and whether each block has words."""
     n = len(texts)
     h = np.fromiter((_hash(w) for ws in texts for w in ws), dtype=np.uint64)
     owner = np.repeat(np.arange(n), [len(ws) for ws in texts])
     cell = owner * SEGMENTS + ((h >> np.uint64(40)) % np.uint64(SEGMENTS)).astype(np.int64)
     counts = np.bincount(cell, minlength=n * SEGMENTS)
-    symbols = np.zeros(n * SEGMENTS, dtype=np.uint64)
+    symbols = np.zeros(n * SEGMENTS, dtype=np.int64)
     for b in range(BITS):  # the sign of each bit's sum over the segment's words
-        one = ((h >> np.uint64(b)) & np.uint64(1)).astype(np.int64) * 2 - 1
-        symbols |= (np.bincount(cell, one, n * SEGMENTS) > 0).astype(np.uint64) << np.uint64(b)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(n * SEGMENTS, dtype=np.uint64)  # tells equal segments apart from merely similar ones
-        np.add.at(sums, cell, h * np.uint64(0x9E3779B97F4A7C15) ^ (h >> np.uint64(29)))
-    symbols, sums, counts = symbols.reshape(n, SEGMENTS), sums.reshape(n, SEGMENTS // 2, 2), counts.reshape(n, SEGMENTS // 2, 2)
-    code = (symbols << (np.arange(SEGMENTS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=1, dtype=np.uint64)
-    keys = _mix(_mix(sums[:, :, 0], sums[:, :, 1]), np.arange(SEGMENTS // 2, dtype=np.uint64))
-    return code, keys, counts.sum(axis=2)
+        ones = np.bincount(cell[((h >> np.uint64(b)) & np.uint64(1)).astype(bool)], minlength=n * SEGMENTS)
+        symbols |= (2 * ones > counts).astype(np.int64) << b
+    symbols, counts = symbols.reshape(n, SEGMENTS // 2, 2), counts.reshape(n, SEGMENTS // 2, 2)
+    return symbols[:, :, 0] << BITS | symbols[:, :, 1], counts.sum(axis=2) > 0
 
 
 def _block_key(number: int, n: int, words: list[str]) -> int:
@@ -182,8 +172,16 @@ def probe_keys(words: list[str], most: int) -> list[int]:
     return list(out)
 
 
+def folded(blocks: np.ndarray) -> np.ndarray:
+    """A fingerprint with its symbols folded to four bits each. Equal symbols stay equal, so no distance grows."""
+    symbols = np.stack([blocks >> BITS, blocks & ((1 << BITS) - 1)], axis=2).reshape(len(blocks), SEGMENTS)
+    for by in (12, 8, 4):
+        symbols = symbols ^ (symbols >> by)
+    return ((symbols & 15) << (4 * np.arange(SEGMENTS))).sum(axis=1)
+
+
 def symbols_apart(a: Column, b: Column) -> Column:
-    """The Hamming distance of two fingerprints in symbols."""
+    """The Hamming distance of two folded fingerprints in symbols."""
     x = a.bitwiseXOR(b)
     x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
     x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
@@ -191,7 +189,7 @@ def symbols_apart(a: Column, b: Column) -> Column:
 
 
 def fingerprint_rows(batches: Iterator[pd.DataFrame], least: int, most: int) -> Iterator[pd.DataFrame]:
-    """(id, text, side) to (id, side, class, words, normal text, fingerprint, join keys, block keys). Block keys are those of the side, null where each pair has words."""
+    """(id, text, side) to (id, side, class, a second hash, words, normal text, folded fingerprint, its blocks, null for those without words, kinds, keys of places). Keys of places are those of the side, null where each block has words."""
     for pdf in batches:
         pdf = pdf[[isinstance(t, str) and len(t.split()) >= least for t in pdf["text"]]]
         for at in range(0, len(pdf), 2000):
@@ -199,61 +197,117 @@ def fingerprint_rows(batches: Iterator[pd.DataFrame], least: int, most: int) ->
             words = [normal_words(t) for t in part["text"]]
             depth = [reverts(t) for t in part["text"]]
             slots = [bumps(t) for t in part["text"]]
-            code, keys, counts = fingerprints(words)
-            out, blocks = [], []
-            for k, f, d, s, w, side in zip(keys, counts > 0, depth, slots, words, part["side"]):
-                of_kind = lambda own: np.concatenate([_mix(own, np.full(len(own), xxhash.xxh64_intdigest(f"{d} {x}"), np.uint64)) for x in (s or [""])]).view(np.int64)  # noqa: B023, E731
-                out.append(of_kind(k[f]))
-                blocks.append(None if f.all() else of_kind(np.array((block_keys if side == 1 else probe_keys)(w, most), dtype=np.uint64)))
+            blocks, filled = fingerprints(words)
             text = [" ".join(w) for w in words]
+            whole = [f"{d}|{'|'.join(s)}|{t}" for t, d, s in zip(text, depth, slots)]
+            longs = lambda f: np.fromiter((f(x) for x in whole), dtype=np.uint64, count=len(whole)).view(np.int64)
             yield pd.DataFrame({
-                "id": part["id"].to_numpy(), "side": part["side"].to_numpy(),
-                "cls": np.array([xxhash.xxh64_intdigest(f"{d}|{'|'.join(s)}|{t}") for t, d, s in zip(text, depth, slots)], dtype=np.uint64).view(np.int64),
-                "n": np.array([len(w) for w in words], dtype=np.int32), "normal": text, "code": code.view(np.int64), "keys": out, "blocks": blocks,
+                "id": part["id"].to_numpy(), "side": part["side"].to_numpy(), "cls": longs(xxhash.xxh64_intdigest), "proof": longs(xxhash.xxh3_64_intdigest),
+                "n": np.array([len(w) for w in words], dtype=np.int16), "normal": text, "code": folded(blocks),
+                "blocks": [[x if f else None for x, f in zip(row, own)] for row, own in zip(blocks.tolist(), filled.tolist())],
+                "kinds": [[xxhash.xxh32_intdigest(f"{d} {x}") for x in (s or [""])] for d, s in zip(depth, slots)],
+                "places": [None if own.all() else np.array((block_keys if side == 1 else probe_keys)(w, most), dtype=np.uint64).view(np.int64) for own, w, side in zip(filled, words, part["side"])],
             })
 
 
-def text_classes(df: DataFrame, row_id: str, text: str, split: str, least: int = 12, most: int = 3, share: float = 0.25) -> tuple[DataFrame, DataFrame]:
-    """(members, links): (id, side, cls) of the rows with a text, and (cls_a, cls_b) of a training and an evaluation class within `most` words, equal ones included.
+_ROWS = "id bigint, side int, cls bigint, proof bigint, n smallint, normal string, code bigint, blocks array<bigint>, kinds array<bigint>, places array<bigint>"
 
-    Copies are not expanded: a class of equal texts is one row in every step.
-    """
+
+def text_rows(df: DataFrame, row_id: str, text: str, split: str, least: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with a text, fingerprinted, and their classes: one row per normalised text, told apart by 128 bits."""
     known = F.col(split).isin("train", "validation", "test") & F.col(text).isNotNull()
     rows = df.filter(known).select(F.col(row_id).cast("bigint").alias("id"), F.col(text).alias("text"), F.when(F.col(split) == "train", 1).otherwise(2).cast("int").alias("side"))
-    made = spread(rows, "id").mapInPandas(lambda it: fingerprint_rows(it, least, most), "id bigint, side int, cls bigint, n int, normal string, code bigint, keys array<bigint>, blocks array<bigint>")
-    made = materialise(made, "fingerprints")
-    of_side = lambda side: F.first(F.when(F.col("side") == side, F.col("blocks")), ignorenulls=True).alias(f"blocks_{side}")
-    classes = made.groupBy("cls").agg(F.bit_or("side").alias("sides"), F.first("n").alias("n"), F.first("code").alias("code"), F.first("keys").alias("keys"), of_side(1), of_side(2))
+    made = materialise(spread(rows, "id").mapInPandas(lambda it: fingerprint_rows(it, least, most), _ROWS), "fingerprints")
+    of_side = lambda side: F.first(F.when(F.col("side") == side, F.col("places")), ignorenulls=True).alias(f"places_{side}")
+    while True:
+        classes = made.groupBy("cls").agg(F.bit_or("side").alias("sides"), *[F.first(c).alias(c) for c in ("n", "code", "blocks", "kinds")], of_side(1), of_side(2), F.min("proof").alias("low"), F.max("proof").alias("high"))
+        classes = materialise(classes, "classes")
+        if classes.filter("low <> high").isEmpty():
+            return made, classes
+        made = made.withColumn("cls", F.xxhash64("cls", "proof"))  # two texts met in one class
+
+
+def keyed(classes: DataFrame, side: int, end: str) -> DataFrame:
+    """(key, cls, n, code, blocks, used) of the classes of a side: a row for each code block and each key of a place. used: the symbols in the key."""
     none = F.array().cast("array<bigint>")
-
-    def keyed(side: int, end: str) -> DataFrame:
-        keys = F.explode(F.concat("keys", F.coalesce(f"blocks_{side}", none))).alias("key")
-        return classes.filter(F.col("sides").bitwiseAND(side) != 0).select(F.col("cls").alias(f"cls_{end}"), F.col("n").cast("smallint").alias(f"n_{end}"), F.col("code").alias(f"code_{end}"), keys)
-
-    met = keyed(1, "a").join(keyed(2, "b"), "key")
+    of_block = lambda kind, no, block: F.struct(F.xxhash64(kind, no, block).alias("key"), F.array(2 * no, 2 * no + 1).cast("array<int>").alias("used"))
+    number = F.sequence(F.lit(0), F.lit(SEGMENTS // 2 - 1))
+    of_blocks = lambda kind: F.transform(F.filter(number, lambda no: F.get("blocks", no).isNotNull()), lambda no: of_block(kind, no, F.get("blocks", no)))
+    of_places = lambda kind: F.transform(F.coalesce(f"places_{side}", none), lambda k: F.struct(F.xxhash64(kind, k).alias("key"), F.array().cast("array<int>").alias("used")))
+    keys = F.inline(F.flatten(F.transform("kinds", lambda kind: F.concat(of_blocks(kind), of_places(kind)))))
+    own = classes.filter(F.col("sides").bitwiseAND(side) != 0)
+    return own.select(F.col("cls").alias(f"cls_{end}"), F.col("n").alias(f"n_{end}"), F.col("code").alias(f"code_{end}"), "blocks", keys)
+
+
+def lengthened(rows: DataFrame) -> DataFrame:
+    """Each key lengthened by one of seven symbols that it has not used: as at most six differ, one of the seven is equal as well."""
+    free = F.slice(F.filter(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda s: ~F.array_contains("used", s)), 1, SEGMENTS // 2)
+    block = lambda s: F.coalesce(F.get("blocks", F.shiftright(s, 1)), F.lit(-1))
+    symbol = lambda s: F.when(s.bitwiseAND(1) == 0, F.shiftright(block(s), BITS)).otherwise(block(s).bitwiseAND((1 << BITS) - 1))
+    keys = F.inline(F.transform(free, lambda s: F.struct(F.xxhash64("key", s, symbol(s)).alias("longer"), F.array_append("used", s.cast("int")).alias("using"))))
+    kept = [c for c in rows.columns if c not in ("key", "used")]
+    return rows.select(*kept, keys).withColumnsRenamed({"longer": "key", "using": "used"})
+
+
+def candidates(classes: DataFrame, most: int) -> DataFrame:
+    """(cls_a, cls_b) of a training and another evaluation class within the Hamming radius, from equal code blocks.
+
+    A key that would give more than FEW pairs is lengthened, up to DEPTH times;
+    of what is then still frequent, the training side is split into salts of CHUNK
+    classes. No key, however frequent, is dropped or met whole in one task.
+    """
+    a, b = keyed(classes, 1, "a"), keyed(classes, 2, "b")
     near = (F.col("cls_a") != F.col("cls_b")) & (F.abs(F.col("n_a") - F.col("n_b")) <= most) & (symbols_apart(F.col("code_a"), F.col("code_b")) <= 2 * most)
-    pairs = materialise(met.filter(near).select("cls_a", "cls_b").distinct(), "candidates")
+    out = None
+    for depth in range(DEPTH + 1):
+        one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+        counts = a.select("key", one.alias("a"), none.alias("b")).unionByName(b.select("key", none.alias("a"), one.alias("b"))).groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        hot = materialise(counts.filter(F.col("a") * F.col("b") > FEW), "frequent")
+        many = hot.count()
+        listed = F.broadcast(hot) if many <= SMALL else hot  # at most SMALL rows
+        rest = lambda rows: rows.select(*[c for c in rows.columns if c not in ("blocks", "used")]).join(listed.select("key"), "key", "left_anti") if many else rows.drop("blocks", "used")  # noqa: B023, E731
+        met = rest(a).join(rest(b), "key").filter(near).select("cls_a", "cls_b")
+        out = met if out is None else out.unionByName(met)
+        if not many:
+            break
+        if depth == DEPTH:
+            salts = F.ceil(F.col("a") / F.lit(CHUNK)).cast("int")
+            salted_a = a.join(listed.select("key", salts.alias("salts")), "key").withColumn("salt", F.pmod("cls_a", F.col("salts")).cast("int"))
+            salted_b = b.join(listed.select("key", salts.alias("salts")), "key").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+            out = out.unionByName(salted_a.drop("blocks", "used", "salts").join(salted_b.drop("blocks", "used", "salts"), ["key", "salt"]).filter(near).select("cls_a", "cls_b"))
+            break
+        a, b = (materialise(lengthened(rows.join(listed.select("key"), "key", "left_semi")), "longer") for rows in (a, b))
+    return out.distinct()
+
+
+def text_classes(df: DataFrame, row_id: str, text: str, split: str, least: int = 12, most: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(members, links): (id, side, cls) of the rows with a text, and (cls_a, cls_b) of a training and an evaluation class within `most` words, equal ones included.
+
+    Copies are not expanded: a class of equal texts is one row in every step.
+    """
+    made, classes = text_rows(df, row_id, text, split, least, most)
+    pairs = materialise(candidates(classes, most), "candidates")
     wanted = pairs.select(F.explode(F.array("cls_a", "cls_b")).alias("cls")).distinct()
     if pairs.count() * 2 <= SMALL:
         wanted = F.broadcast(wanted)  # at most SMALL rows
     texts = made.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.first("normal").alias("normal"))
     pairs = pairs.join(texts.select(F.col("cls").alias("cls_a"), F.col("normal").alias("text_a")), "cls_a").join(texts.select(F.col("cls").alias("cls_b"), F.col("normal").alias("text_b")), "cls_b")
-    same = F.pandas_udf(lambda a, b: pd.Series([same_text(x, y, most, share, least) for x, y in zip(a, b)], dtype=bool), T.BooleanType())
+    same = F.pandas_udf(lambda a, b: pd.Series([same_text(x, y, most) for x, y in zip(a, b)], dtype=bool), T.BooleanType())
     links = pairs.filter(same("text_a", "text_b")).select("cls_a", "cls_b")
     equal = classes.filter(F.col("sides") == 3).select(F.col("cls").alias("cls_a"), F.col("cls").alias("cls_b"))
-    return made.select("id", "side", "cls"), links.unionByName(equal)
+    return made.select("id", "side", "cls"), materialise(links.unionByName(equal), "links")
 
 
-def text_overlaps(df: DataFrame, row_id: str, text: str, split: str, least: int = 12, most: int = 3, share: float = 0.25) -> DataFrame:
+def text_overlaps(df: DataFrame, row_id: str, text: str, split: str, least: int = 12, most: int = 3) -> DataFrame:
     """(id_a, id_b): rows of different sides, training and evaluation, whose texts differ in at most `most` words."""
-    members, links = text_classes(df, row_id, text, split, least, most, share)
+    members, links = text_classes(df, row_id, text, split, least, most)
     train = members.filter("side = 1").select(F.col("id").alias("id_train"), F.col("cls").alias("cls_a"))
     held = members.filter("side = 2").select(F.col("id").alias("id_held"), F.col("cls").alias("cls_b"))
-    found = links.join(train, "cls_a").join(held, "cls_b")
+    found = skewed_join(held, skewed_join(train, links, "cls_a", ["id_train"]), "cls_b", ["id_held"])
     return found.select(F.least("id_train", "id_held").alias("id_a"), F.greatest("id_train", "id_held").alias("id_b"))
 
 
-def hash_key(column: str):
+def hash_key(column: str) -> Column:
     """The first 12 hexadecimal digits of a commit hash, however it is written; null if there are fewer."""
     digits = F.regexp_extract(F.lower(F.col(column)), r"([0-9a-f]{12,40})", 1)
     return F.when(F.length(digits) >= 12, F.substring(digits, 1, 12))
@@ -264,7 +318,7 @@ def hash_overlaps(df: DataFrame, row_id: str, hash_column: str, split: str) -> D
     rows = df.filter(F.col(split).isin("train", "validation", "test")).select(F.col(row_id).cast("bigint").alias("id"), hash_key(hash_column).alias("key"), split).filter(F.col("key").isNotNull())
     train = rows.filter(F.col(split) == "train").select("key", F.col("id").alias("id_train"))
     held = rows.filter(F.col(split) != "train").select("key", F.col("id").alias("id_held"))
-    return train.join(held, "key").select(F.least("id_train", "id_held").alias("id_a"), F.greatest("id_train", "id_held").alias("id_b"))
+    return skewed_join(train, held, "key", ["id_train"]).select(F.least("id_train", "id_held").alias("id_a"), F.greatest("id_train", "id_held").alias("id_b"))
 
 
 def cross_split_overlaps(df: DataFrame, row_id: str = "row_id", hash_column: str = "hash", text: str = "commit_msg", split: str = "data_split") -> DataFrame:
@@ -286,9 +340,10 @@ def overlap_rows(df: DataFrame, row_id: str = "row_id", hash_column: str = "hash
     members, links = text_classes(df, row_id, text, split)
     labelled = members.filter("side = 1").select(F.col("id").alias("m"), "cls").join(rows.select("id", "y"), F.col("m") == F.col("id"))
     by_class = labelled.groupBy(F.col("cls").alias("cls_a")).agg(*counts())
-    near = links.join(by_class, "cls_a").groupBy("cls_b").agg(*[F.sum(c).alias(f"t_{c}") for c in ("k", "k0", "k1")])
+    near = skewed_join(links, by_class, "cls_a", ["cls_b"]).groupBy(F.col("cls_b").alias("class_id")).agg(*[F.sum(c).alias(f"t_{c}") for c in ("k", "k0", "k1")])
     held = members.filter("side = 2").select(F.col("id").alias("m"), F.col("cls").alias("class_id"))
-    own = rows.filter("not t").join(held, F.col("id") == F.col("m"), "left").join(near, F.col("class_id") == F.col("cls_b"), "left").join(by_hash, "h", "left")
+    own = materialise(rows.filter("not t").join(held, F.col("id") == F.col("m"), "left").drop("m"), "held")
+    own = skewed_join(skewed_join(own, near, "class_id", ["id"], "left"), by_hash, "h", ["id"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     other = F.when(F.col("y") == 1, zero("t_k0") + zero("k0") > 0).when(F.col("y") == 0, zero("t_k1") + zero("k1") > 0).otherwise(F.lit(False))
     return own.select(F.col("id").alias("row_id"), "class_id", zero("t_k").alias("text_twins"), zero("k").alias("hash_twins"), other.alias("other_label")).filter("text_twins + hash_twins > 0")
