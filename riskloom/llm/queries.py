@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import leakage, mixing, overlaps, personal, quantiles, sentences, splits
-from riskloom.session import table
+from riskloom.session import materialise, table
 
 PROBABILITIES = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
 
@@ -51,9 +51,33 @@ def p3_split_by_author(spark: SparkSession, d: str) -> DataFrame:
     return by_author(spark, d).select("row_id", "split", "component")
 
 
-def p3_split_by_repo(spark: SparkSession, d: str) -> DataFrame:
+def by_repo(spark: SparkSession, d: str) -> DataFrame:
     rows = commits(spark, d, "row_id", "hash", "seq", "source_repo", "risky")
-    return splits.assign_splits(rows, "row_id", F.col("source_repo"), commit_records(), "risky").select("row_id", "split", "component")
+    return splits.assign_splits(rows, "row_id", F.col("source_repo"), commit_records(), "risky")
+
+
+def p3_split_by_repo(spark: SparkSession, d: str) -> DataFrame:
+    return by_repo(spark, d).select("row_id", "split", "component")
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per unit and split: rows, their share, and the share of risky ones."""
+    out = None
+    for unit, make in (("author", by_author), ("source_repo", by_repo)):
+        part = splits.split_report(materialise(make(spark, d), "assigned"), "risky").select(F.lit(unit).alias("unit"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def p3_together(spark: SparkSession, d: str) -> DataFrame:
+    """Per unit: rows, authors or repositories, numbered commits, and how many of these lie in more than one split."""
+    out = None
+    for unit, key, make in (("author", "author", by_author), ("source_repo", "source_repo", by_repo)):
+        done = materialise(make(spark, d), "assigned")
+        units, numbered = (splits.torn(done, F.col(k)).select(F.struct("keys", "torn")).scalar() for k in (key, "seq"))
+        part = done.agg(F.count("split").alias("n_rows")).select(F.lit(unit).alias("unit"), "n_rows", units["keys"].alias("units"), units["torn"].alias("torn_units"), numbered["keys"].alias("commits"), numbered["torn"].alias("torn_commits"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
@@ -105,7 +129,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_table(documents(spark, d, "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rows, p2_report, p2_same_hash, p3_found, p3_split_by_author, p3_split_by_repo, p4_percentiles, p5_found, p5_sanitised, p7_found, p7_report, p8_mix, p8_report, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_rows, p2_report, p2_same_hash, p3_found, p3_split_by_author, p3_split_by_repo, p3_report, p3_together, p4_percentiles, p5_found, p5_sanitised, p7_found, p7_report, p8_mix, p8_report, p9_found)}
 
 _STATE = """
   select source_repo, cast(ingested_at as date) as day, m.metric, m.value
@@ -128,6 +152,9 @@ ORACLE_SQL = {
                      regexp_replace(author, '<[^<>]*>|\([^()]*\)|\[[^\[\]]*\]|\S+@\S+', ' ', 'g')))), '[\pL\pN]+')), ' ') as name
                    from commit_features where author is not null)
         select a.author as author_a, b.author as author_b from k a join k b on a.name = b.name and a.author < b.author""",
+    "p3_together": """
+        select 'author' as unit, count(*) as n_rows, count(distinct author) as units, 0 as torn_units, count(distinct seq) as commits, 0 as torn_commits from commit_features
+        union all select 'source_repo', count(*), count(distinct source_repo), 0, count(distinct seq), 0 from commit_features""",
     "p4_percentiles": f"""
         with s as ({_STATE}), a as (select source_repo, day, metric, value from s union all select source_repo, cast(null as date), metric, value from s),
         k as ({_RANKED.format(state="select * from a")})

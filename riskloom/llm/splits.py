@@ -27,15 +27,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.operators.skew import skewed_join
 from riskloom.session import materialise, scalars
 
 SPLITS = ("train", "validation", "test")
 HEAVY_SHARE = 0.002
 BUCKETS = 400
+#: Up to so many links a plain join is used.
+SMALL = 200_000
 
 _NOTE = re.compile(r"<[^<>]*>|\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}|（[^（）]*）|\S+[@＠]\S+")
 _WORDS = re.compile(r"[^\W_]+")
@@ -73,36 +77,44 @@ def connected(links: DataFrame) -> DataFrame:
 
     The component is its least node. Each round is written, so its cost does not
     pile up; the number of rounds grows with the logarithm of the longest path.
+    A node with very many neighbours is met in salts; up to SMALL links no task is long.
     """
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "links")
-    before = None
+    state = lambda e: e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)), F.coalesce(F.count_distinct("u"), F.lit(0))).first()
+    now = state(edges)
     while True:
+        join = (lambda many, few: many.join(few, "u")) if now[0] <= SMALL else (lambda many, few: skewed_join(many, few, "u", ["v"]))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = join(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.unionByName(least.filter("m < u").select("u", F.col("m").alias("v"))).filter("u != v").distinct()
+        down = materialise(down, "links") if now[0] > SMALL else down
         low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        small = join(down, low).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = materialise(small.filter("u != v").distinct(), "links")
-        now = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)), F.coalesce(F.count_distinct("u"), F.lit(0))).first()
-        if now[0] == now[2] and (now[0], now[1]) == before:  # each node has one link, to its root
+        before, now = now, state(edges)
+        if now[0] == now[2] and (now[0], now[1]) == (before[0], before[1]):  # each node has one link, to its root
             break
-        before = (now[0], now[1])
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return roots.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def with_components(df: DataFrame, row_id: str, unit: Column, *records: Column) -> DataFrame:
-    """Adds __component: rows of one unit (string, null for none) or one value of any of the records (strings, null for none) share it."""
+    """Adds __component: rows of one unit (string, null for none) or one value of any of the records (strings, null for none) share it.
+
+    Rows of a heavy unit, and the units of a heavy record, are joined in salts: none is whole in one task.
+    """
     own = F.concat(F.lit("row:"), F.col(row_id).cast("string"))
     named = [F.concat(F.lit(f"record{i or ''}:"), r) for i, r in enumerate(records)]
-    base = df.withColumn("__node", F.coalesce(F.concat(F.lit("unit:"), unit), *named, own)).withColumn("__records", F.array_compact(F.array(*named)))
+    base = materialise(df.withColumn("__node", F.coalesce(F.concat(F.lit("unit:"), unit), *named, own)).withColumn("__records", F.array_compact(F.array(*named))), "nodes")
     # Partial minima leave each task before the shuffle: one record's rows are never gathered.
-    per_record = base.select(F.explode("__records").alias("__record"), "__node").groupBy("__record", "__node").agg(F.lit(1).alias("__one"))
-    first = per_record.groupBy("__record").agg(F.min("__node").alias("a"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("__record", "a")
-    roots = connected(per_record.join(first, "__record").select("a", F.col("__node").alias("b")))
-    roots = roots.select(F.col("node").alias("__root_of"), F.col("component").alias("__root"))
-    return base.join(roots, base["__node"] == roots["__root_of"], "left").withColumn("__component", F.coalesce("__root", "__node")).drop("__root_of", "__root", "__node", "__records")
+    per_record = base.select(F.explode("__records").alias("__record"), "__node").distinct()
+    first = per_record.groupBy("__record").agg(F.min("__node").alias("a"), F.max("__node").alias("z")).filter("a < z").select("__record", "a")
+    shared = materialise(per_record.join(first, "__record", "left_semi"), "records")  # of records in more than one node
+    star = shared.groupBy("__record").agg(F.min("__node").alias("a"))
+    roots = connected(skewed_join(shared, star, "__record", ["__node"]).select("a", F.col("__node").alias("b")))
+    roots = roots.select(F.col("node").alias("__node"), F.col("component").alias("__root"))
+    return skewed_join(base, roots, "__node", [row_id], "left").withColumn("__component", F.coalesce("__root", "__node")).drop("__root", "__node", "__records")
 
 
 def deviation(sizes: np.ndarray, ones: np.ndarray, shares: np.ndarray, total: float, label: float) -> float:
@@ -110,12 +122,12 @@ def deviation(sizes: np.ndarray, ones: np.ndarray, shares: np.ndarray, total: fl
     return float(np.abs(sizes / total - shares).sum() + 0.5 * (np.abs(ones / np.maximum(sizes, 1) - label) * np.sqrt(shares)).sum())
 
 
-def anneal(n: np.ndarray, ones: np.ndarray, shares: np.ndarray, seed: int, steps: int) -> tuple[float, np.ndarray]:
-    """One chain over pieces with n rows, of which `ones` have the label: its best deviation and assignment."""
+def anneal(n: np.ndarray, ones: np.ndarray, shares: np.ndarray, start: np.ndarray, seed: int, steps: int) -> tuple[float, np.ndarray]:
+    """One chain over pieces with n rows, of which `ones` have the label: its best deviation and assignment. start: each piece's hash, from 0 to 1."""
     rng = np.random.default_rng(seed)
     k, total = len(n), float(max(n.sum(), 1))
     label = float(ones.sum()) / total
-    at = np.searchsorted(np.cumsum(shares), rng.random(k)).clip(0, len(shares) - 1)
+    at = np.searchsorted(np.cumsum(shares), start).clip(0, len(shares) - 1)
     size, one = np.bincount(at, n, len(shares)), np.bincount(at, ones, len(shares))
     now = deviation(size, one, shares, total, label)
     best, kept = now, at.copy()
@@ -157,12 +169,13 @@ def assign_splits(df: DataFrame, row_id: str, unit: Column, record: Column | lis
     # At most 1 / HEAVY_SHARE heavy pieces and BUCKETS others: a bound that no input changes.
     pieces = placed.groupBy("piece").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).orderBy("piece").toPandas()
     if len(pieces):
-        n, ones, want = pieces["n"].to_numpy(float), pieces["ones"].to_numpy(float), np.array(shares)
+        n, ones, want, names = pieces["n"].to_numpy(float), pieces["ones"].to_numpy(float), np.array(shares), pieces["piece"].tolist()
 
         def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 for s in pdf["id"]:
-                    best, at = anneal(n, ones, want, seed * 1000 + int(s), steps)
+                    start = np.array([xxhash.xxh64_intdigest(x, seed * 1000 + int(s)) / 2.0**64 for x in names])
+                    best, at = anneal(n, ones, want, start, seed * 1000 + int(s), steps)
                     yield pd.DataFrame({"chain": [int(s)], "cost": [best], "at": [at.astype(int).tolist()]})
 
         won = spark.range(0, chains, 1, chains).mapInPandas(chain, "chain bigint, cost double, at array<int>").orderBy("cost", "chain").first()
@@ -181,11 +194,11 @@ def assign_splits(df: DataFrame, row_id: str, unit: Column, record: Column | lis
 
 
 def variant_pairs(assigned: DataFrame, author: str, key: str) -> DataFrame:
-    """(author_a, author_b): values of one author, from rows that the split has kept together."""
-    seen = assigned.filter(F.col(key).isNotNull()).groupBy(author, key, "split").agg(F.lit(1).alias("__one"))
-    a = seen.select(F.col(author).alias("author_a"), F.col(key).alias("k"), F.col("split").alias("s"))
-    b = seen.select(F.col(author).alias("author_b"), F.col(key).alias("k"), F.col("split").alias("s"))
-    return a.join(b, ["k", "s"]).filter("author_a < author_b").select("author_a", "author_b").distinct()
+    """(author_a, author_b): values of one author, from the components that the split keeps together; a component may hold several authors, so the keys are compared."""
+    seen = assigned.filter(F.col(key).isNotNull()).select("component", "split", author, key).distinct()
+    a = seen.select(F.col(author).alias("author_a"), F.col(key).alias("k"), "component", "split")
+    b = seen.select(F.col(author).alias("author_b"), F.col(key).alias("k"), "component", "split")
+    return a.join(b, ["component", "split", "k"]).filter("author_a < author_b").select("author_a", "author_b").distinct()
 
 
 def keyed_authors(df: DataFrame, author: str, out: str = "author_key") -> DataFrame:
@@ -200,3 +213,9 @@ def split_report(assigned: DataFrame, label: str) -> DataFrame:
     return per.select("split", "n", (F.col("n") / total).alias("row_share"), (F.col("ones") / F.col("n")).alias("label_share"))
 
 
+def torn(assigned: DataFrame, key: Column) -> DataFrame:
+    """(keys, torn): how many values of a key there are, and how many of them lie in more than one split. Partial minima are shuffled, no group."""
+    per = assigned.select(key.alias("k"), "split").filter("k is not null").groupBy("k").agg(F.min("split").alias("a"), F.max("split").alias("z"))
+    return per.agg(F.count(F.lit(1)).alias("keys"), F.count_if(F.col("a") != F.col("z")).alias("torn"))
+
+

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from riskloom.llm import splits
 from riskloom.llm.overlaps import hash_key
 from riskloom.llm.queries import QUERIES
 from riskloom.llm.splits import anneal, assign_splits, connected, keyed_authors, name_key, split_report, variant_pairs, with_components
@@ -17,9 +18,11 @@ def test_spellings_of_one_name():
     assert name_key("larch-bot[bot]") == name_key("Larch-Bot") and name_key("  ") == "" and name_key("(x)") == "x"
 
 
-def test_components_equal_a_plain_search(spark):
+@pytest.mark.parametrize("small", [splits.SMALL, 0])
+def test_components_equal_a_plain_search(spark, monkeypatch, small):
+    monkeypatch.setattr(splits, "SMALL", small)  # 0: hubs are met in salts
     rng = np.random.default_rng(2)
-    links = [(f"n{a}", f"n{b}") for a, b in rng.integers(0, 120, (90, 2))] + [(f"p{i}", f"p{i + 1}") for i in range(40)]
+    links = [(f"n{a}", f"n{b}") for a, b in rng.integers(0, 120, (90, 2))] + [(f"p{i}", f"p{i + 1}") for i in range(40)] + [("hub", f"h{i}") for i in range(60)]
     parent = {}
 
     def root(x):
@@ -80,7 +83,7 @@ def test_variants_and_an_empty_table(spark, assigned):
 
 def test_annealing_keeps_the_best():
     n, ones = np.array([100.0, 10, 10, 5, 5, 60, 10]), np.array([50.0, 5, 5, 2, 3, 30, 5])
-    cost, at = anneal(n, ones, np.array([0.8, 0.1, 0.1]), 1, 2000)
+    cost, at = anneal(n, ones, np.array([0.8, 0.1, 0.1]), np.array([0.9, 0.1, 0.5, 0.3, 0.7, 0.2, 0.6]), 1, 2000)
     sizes = np.bincount(at, n, 3)
     assert abs(sizes[0] - 160) <= 10 and cost < 0.2
 
@@ -96,4 +99,8 @@ def test_a_commit_under_another_hash_stays_together(spark):
 def test_rows_of_one_seq_get_one_split(spark, query):
     d = "/root/testdata/sf0.1"
     rows = QUERIES[query](spark, d).join(spark.read.parquet(f"{d}/commit_features.parquet").select("row_id", "seq"), "row_id")
+    rows = rows.cache()
     assert rows.count() == 40000 and rows.groupBy("seq").agg(F.count_distinct("split", "component").alias("k")).filter("k > 1").count() == 0
+    share = {r.split: r["count"] / 40000 for r in rows.groupBy("split").count().collect()}
+    assert all(abs(share[s] - x) < 0.01 for s, x in (("train", 0.8), ("validation", 0.1), ("test", 0.1)))
+    rows.unpersist()
