@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 
 SECOND = 1_000_000
 DAY = 86_400 * SECOND
+#: Shapes that a worker remembers; beyond it, it starts to learn them again.
+MOST_SHAPES = 50_000
 
 # English month names and weekday names as dates are written.
 MONTHS = {m: i + 1 for i, names in enumerate(("jan january", "feb february", "mar march", "apr april", "may may", "jun june", "jul july", "aug august", "sep september sept", "oct october", "nov november", "dec december")) for m in names.split()}
@@ -48,7 +50,7 @@ GRAMMARS = {
         "us_words": rf"{_WEEKDAY}(?P<mon>[A-Za-z]{{3,9}})\.?\s+(?P<d>\d\d?),\s*(?P<y>\d{{4}})\s+{_CLOCK}(?:\s*(?P<ap>[AaPp]\.?[Mm]\.?))?{_ZONE}",
         "slashes": rf"(?P<a>\d\d?)/(?P<b>\d\d?)/(?P<y>\d{{4}})\s+{_CLOCK}{_ZONE}",
         "dots": rf"(?P<d>\d\d?)\.(?P<mo>\d\d?)\.(?P<y>\d{{4}})\s+{_CLOCK}{_ZONE}",
-        "epoch": r"@?(?P<e>-?\d{9,20})(?:[.,](?P<f>\d+))?(?:\s*[+-]\d\d:?\d\d)?",
+        "epoch": r"@?(?P<e>-?\d{1,20})(?:[.,](?P<f>\d+))?(?:\s*[+-]\d\d:?\d\d)?",
     }.items()
 }
 _OFFSET = re.compile(r"(?:(?:UTC|GMT)\s*)?([+-])(\d\d):?(\d\d)?(?::?(\d\d))?(?:\s*\[([A-Za-z_]+(?:/[A-Za-z0-9_+-]+)*)\])?", re.I)
@@ -173,6 +175,8 @@ class InstantReader:
 
     def match(self, text: str) -> tuple[str, re.Match] | None:
         mask = shape_mask(text)
+        if len(self.parsers) > MOST_SHAPES:
+            self.parsers.clear()
         known = self.parsers.get(mask, ())
         for name in known:
             if m := GRAMMARS[name].fullmatch(text):
@@ -190,7 +194,7 @@ class InstantReader:
         n = len(texts)
         groups: dict[str, list[tuple[int, re.Match]]] = {}
         for i, t in enumerate(texts):
-            if isinstance(t, str) and (t := t.translate(_TABLE).strip()) and len(t) < 100 and (got := self.match(t)):
+            if isinstance(t, str) and (t := t.translate(_TABLE).strip()) and (got := self.match(t)):
                 groups.setdefault(got[0], []).append((i, got[1]))
         zone_of = [z.strip() if isinstance(z, str) and z.strip() else None for z in zones]
         week = pd.to_numeric(weekdays, errors="coerce").to_numpy(dtype=float, na_value=np.nan)
@@ -202,7 +206,7 @@ class InstantReader:
             fields = {k: [m.group(k) for _, m in found] for k in GRAMMARS[name].groupindex}
             micro = np.array([int((x or "")[:6].ljust(6, "0")) for x in fields["f"]]) if "f" in fields else np.zeros(len(at), dtype=np.int64)
             if name == "epoch":
-                scale = [10 ** max(0, 3 * ((len(e.lstrip("-")) - 9) // 3)) for e in fields["e"]]  # 9 to 11 digits are seconds, 12 to 14 milliseconds
+                scale = [10 ** max(0, 3 * ((len(e.lstrip("-")) - 9) // 3)) for e in fields["e"]]  # up to 11 digits are seconds, 12 to 14 milliseconds
                 value = [_epoch(e, f or "", s) for e, f, s in zip(fields["e"], fields["f"], scale)]
                 fits = np.array([abs(v) < 2**62 for v in value])
                 utc[at], ok[at] = np.where(fits, [v if abs(v) < 2**62 else 0 for v in value], 0), fits
@@ -256,8 +260,9 @@ class InstantReader:
             at = np.array([i for i, _ in rows])
             utc[at], ok[at] = local_to_utc(wall[at], zone, np.array([a for _, a in rows], dtype=object) if short else None)
         shown = np.where(has_wall, wall, utc)  # the wall clock written, unless the author's zone is known
-        for zone in {z for z, fine in zip(zone_of, ok) if fine and z}:
-            at = np.array([i for i in range(n) if ok[i] and zone_of[i] == zone])
+        code, names = pd.factorize(np.array([z if fine else None for z, fine in zip(zone_of, ok)], dtype=object))
+        order = np.argsort(code, kind="stable")
+        for zone, at in zip(names, np.split(order, np.searchsorted(code[order], np.arange(len(names))))[1:]):
             if (off := offset_at(utc[at], zone)) is not None:
                 shown[at] = utc[at] + off
         gone = ~ok

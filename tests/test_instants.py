@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from riskloom.operators import instants
 from riskloom.operators.instants import InstantReader, normalise_instants, shape_mask, zone_table, zone_version
 
 
@@ -88,3 +89,16 @@ def test_a_table_keeps_its_columns_and_an_empty_one_gives_none(spark):
     r = {x.t: x for x in out.collect()}
     assert r["2021-01-04T16:00:00Z"].utc_hour_of_day == 1 and r["2021-01-04T16:00:00Z"].utc_day_of_week == 1 and r[None].utc_epoch_us is None
     assert normalise_instants(df.limit(0), "t", "z", "w").count() == 0
+
+
+def test_many_fraction_digits_and_few_digits_of_seconds():
+    texts = pd.Series(["2024-03-01T10:00:00." + "123456789" * 10 + "Z", "0", "86400", "-1", "99999999", "9" * 200_000, "x" * 200_000])
+    got = InstantReader().read(texts, pd.Series([None] * 7), pd.Series([None] * 7))["epoch_us"]
+    assert list(got[:5]) == [1709287200123456, 0, 86_400_000_000, -1_000_000, 99_999_999_000_000] and got[5:].isna().all()
+
+
+def test_a_worker_forgets_shapes_beyond_the_bound(monkeypatch):
+    monkeypatch.setattr(instants, "MOST_SHAPES", 3)
+    reader = InstantReader()
+    texts = [f"{'x ' * k}2024" for k in range(12)] + ["2024-03-01T10:00:00Z"]
+    assert reader.read(pd.Series(texts), pd.Series([None] * 13), pd.Series([None] * 13))["epoch_us"][12] == 1709287200000000 and len(reader.parsers) <= 5
