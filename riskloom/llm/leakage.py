@@ -10,7 +10,7 @@ with EDITS words missing can have, so retrieval loses no case.
 
 Retrieved pairs are verified: a run of equal words is extended on both sides
 over at most EDITS changed, dropped or added words, and has to reach STRETCH
-words of the item. The report adds whether the item's answer occurs as well.
+words of the item. The answer of the item is looked for in the same pass.
 
 The index is broadcast, as items are a fixed test set; `MOST_ITEMS` is checked,
 and beyond it the items are searched in slices of that size.
@@ -22,6 +22,7 @@ are cases each; whole texts are read; extra columns are ignored.
 from __future__ import annotations
 
 import html
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -45,7 +46,7 @@ MOST_ITEMS = 20_000
 _ALIKE = str.maketrans("аеорсухіјѕԁһқԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοαρνі", "aeopcyxijsdhkqwABEZHIKMNOPTYXoapvi")
 _LATIN = re.compile("[a-zA-Z]")
 _OTHER = re.compile("[Ͱ-ԯ]")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _LINK = re.compile(r"!?\[([^\[\]]*)\]\([^()\s]*\)")
 _MARK = re.compile(r"(?m)^[^\S\n]*(?:(?:[>|#*+•-]+|//+|\d{1,3}[.)])[^\S\n]+)+")
 _HYPHEN = re.compile(r"(?<=\w)[-‐­]\s*\n[^\S\n]*(?:(?:>+|//+|#+|\*)[^\S\n]+)*(?=\w)")
@@ -78,17 +79,19 @@ def plain_words(text: str) -> list[str]:
 class ItemIndex:
     """An inverted index of items with block maxima."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        kept = [(i, w) for i, t in items if t and len(w := plain_words(t)) >= STRETCH - EDITS]
-        self.ids = np.array([i for i, _ in kept], dtype=np.int64)
-        self.vocabulary = {w: k for k, w in enumerate(sorted({x for _, ws in kept for x in ws}))}
-        self.words = [np.array([self.vocabulary[w] for w in ws], dtype=np.int32) for _, ws in kept]
+    def __init__(self, items: list[tuple]) -> None:
+        """items: (id, text) or (id, text, answer)."""
+        kept = [(i, w, plain_words(more[0]) if more and more[0] else []) for i, t, *more in items if t and len(w := plain_words(t)) >= STRETCH - EDITS]
+        self.ids = np.array([i for i, _, _ in kept], dtype=np.int64)
+        self.vocabulary = {w: k for k, w in enumerate(sorted({x for _, ws, answer in kept for x in (*ws, *answer)}))}
+        self.words = [np.array([self.vocabulary[w] for w in ws], dtype=np.int32) for _, ws, _ in kept]
+        self.answers = [np.array([self.vocabulary[w] for w in answer], dtype=np.int32) for _, _, answer in kept]
         n, mean = len(kept), np.mean([len(w) for w in self.words]) if kept else 1.0
         df = np.zeros(len(self.vocabulary))
         for w in self.words:
             df[np.unique(w)] += 1
         # A term of half the items says nothing; its weight is 0, in the thresholds as well, and it has no postings.
-        idf = np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 0) if n >= 32 else np.log(1 + (n - df + 0.5) / (df + 0.5))
+        idf = np.maximum(np.log((n - df + 0.5) / (df + 0.5)), 0)
         term, item, weight, always = [], [], [], []
         for k, w in enumerate(self.words):
             own, tf = np.unique(w, return_counts=True)
@@ -173,6 +176,12 @@ class ItemIndex:
             hit = known[np.bincount(place, self.weight[posting]) >= 1] if len(known) else known
         return set(zip(owner[hit // len(self.ids)].tolist(), (hit % len(self.ids)).tolist()))
 
+    def answered(self, doc: np.ndarray, item: int) -> bool:
+        """Whether the words of an item's answer stand in a document in a row; False without an answer."""
+        answer = self.answers[item]
+        at = np.flatnonzero(doc[: len(doc) - len(answer) + 1] == answer[0]) if 0 < len(answer) <= len(doc) else ()
+        return any(np.array_equal(doc[s : s + len(answer)], answer) for s in at)
+
     def leaks(self, docs: list[np.ndarray]) -> list[tuple[int, int, int]]:
         """(document, item, words of the longest stretch) of verified pairs."""
         by_doc: dict[int, set[int]] = {}
@@ -251,14 +260,17 @@ def stretch(a: list[int], b: list[int], i: int, j: int) -> tuple[int, int]:
     return max(left[e] + right[EDITS - e] for e in range(EDITS + 1)), j + right[0] - 1
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", batch: int = 256) -> DataFrame:
-    """(doc_id, item_id, words): documents that contain a stretch of an item, and its length in words."""
-    listed = [(r[0], r[1]) for r in items.select(item_id, item_text).filter(F.col(item_text).isNotNull()).orderBy(item_id).toLocalIterator()]
+def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", answer: str = "answer", batch: int = 256) -> DataFrame:
+    """(doc_id, item_id, words, with_answer): documents that contain a stretch of an item, its length in words, and whether the item's answer (false if there is none) stands in the document as well.
+
+    Items come to the driver a slice at a time.
+    """
+    listed = items.select(item_id, item_text, F.col(answer) if answer in items.columns else F.lit(None).cast("string")).filter(F.col(item_text).isNotNull()).orderBy(item_id).toLocalIterator()
     spark = documents.sparkSession
     source = spread(documents.filter(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")), "doc_id")
     found = None
-    for at in range(0, max(1, len(listed)), MOST_ITEMS):
-        index = spark.sparkContext.broadcast(ItemIndex(listed[at : at + MOST_ITEMS]))
+    while (part := [tuple(r) for r in itertools.islice(listed, MOST_ITEMS)]) or found is None:
+        index = spark.sparkContext.broadcast(ItemIndex(part))
 
         def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             own = index.value
@@ -271,17 +283,16 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
                     for t in part["text"]:
                         w = plain_words(t) if len(t) >= STRETCH else []
                         docs.append(np.array([own.vocabulary.get(x, -1) for x in w], dtype=np.int32) if len(w) >= STRETCH - EDITS else np.zeros(0, dtype=np.int32))
-                    rows += [(ids[d], own.ids[k], n) for d, k, n in own.leaks(docs)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words"]).astype({"doc_id": "int64", "item_id": "int64", "words": "int32"})
+                    rows += [(ids[d], own.ids[k], n, own.answered(docs[d], k)) for d, k, n in own.leaks(docs)]
+                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "with_answer"]).astype({"doc_id": "int64", "item_id": "int64", "words": "int32", "with_answer": "bool"})
 
-        part = source.mapInPandas(run, "doc_id bigint, item_id bigint, words int")
+        part = source.mapInPandas(run, "doc_id bigint, item_id bigint, words int, with_answer boolean")
         found = part if found is None else found.unionByName(part)
     return found
 
 
-def leak_report(found: DataFrame, documents: DataFrame, items: DataFrame) -> DataFrame:
-    """Per leaked item: documents, the longest stretch, and documents in which its answer occurs as a word, too."""
-    texts = documents.select(F.col("doc_id").alias("__doc"), F.lower("text").alias("__text"))
-    answers = items.select(F.col("item_id").alias("__item"), "suite", F.lower("answer").alias("__answer"))
-    joined = found.join(F.broadcast(answers), F.col("item_id") == F.col("__item")).join(texts, F.col("doc_id") == F.col("__doc"))  # items are a fixed set
-    return joined.groupBy("item_id", "suite").agg(F.count_distinct("doc_id").alias("documents"), F.max("words").alias("longest_words"), F.count_if(F.expr("regexp_count(__text, concat('(?<![a-z])\\\\Q', __answer, '\\\\E(?![a-z])')) > 0")).alias("with_answer"))
+def leak_report(found: DataFrame, items: DataFrame) -> DataFrame:
+    """Per leaked item: documents, the longest stretch, and documents that hold its answer, too."""
+    per = found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("documents"), F.max("words").alias("longest_words"), F.count_distinct(F.when(F.col("with_answer"), F.col("doc_id"))).alias("with_answer"))
+    suites = items.select(F.col("item_id").cast("bigint").alias("item_id"), "suite").dropDuplicates(["item_id"])
+    return per.join(suites, "item_id", "left").select("item_id", "suite", "documents", "longest_words", "with_answer")

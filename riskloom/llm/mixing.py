@@ -49,7 +49,7 @@ def encoder(path: str):
 
 
 def count_tokens(text: Column, path: str = TOKENIZER) -> Column:
-    """Tokens of a text; null for null. Whole texts are read, in pieces at line ends if they are very long."""
+    """Tokens of a text; null for null. A text is encoded whole, however long."""
 
     @F.pandas_udf(T.LongType())
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -103,26 +103,9 @@ def rate_for(tokens: np.ndarray, target: float, cap: int) -> float:
     return hi
 
 
-def steps_for(tokens: np.ndarray, target: float, cap: int, near: int = 24) -> list[float]:
-    """The uniform numbers at or above which a document has more than 0, 1 .. copies.
-
-    The inverse distribution's steps are moved to edges of bins, where the
-    tokens held are known exactly; of the places near the first and second step,
-    the pair that comes closest to the target is taken.
-    """
-    at = np.rint(np.array(poisson_cdf(rate_for(tokens, target, cap), cap)) * BINS).astype(int)
-    above = np.r_[np.cumsum(tokens[::-1])[::-1], 0.0]
-    if target <= 0 or not at.any():
-        return (at / BINS).tolist()
-    first = np.arange(max(0, at[0] - near), min(BINS, at[0] + near) + 1)
-    second = np.arange(max(0, at[1] - near), min(BINS, at[1] + near) + 1) if cap > 1 else np.array([BINS])
-    miss = np.abs(above[first][:, None] + above[second][None, :] + above[at[2:]].sum() - target)
-    miss += (np.abs(first - at[0])[:, None] + np.abs(second - at[min(1, cap - 1)])[None, :]) * 1e-9 * target  # of equals the nearest
-    a, b = np.unravel_index(np.argmin(miss), miss.shape)
-    at[0] = first[a]
-    if cap > 1:
-        at[1] = max(second[b], first[a])
-    return (np.maximum.accumulate(at) / BINS).tolist()
+def steps_for(tokens: np.ndarray, target: float, cap: int) -> list[float]:
+    """The uniform numbers at or above which a document has more than 0, 1 .. copies: the inverse distribution at the rate that meets the target."""
+    return poisson_cdf(rate_for(tokens, target, cap), cap) if target > 0 else [1.0] * cap
 
 
 def plan_mix(sizes: dict[str, float], targets: dict[str, tuple[float, int]], least_total: float, total: float | None = None) -> dict[str, float]:

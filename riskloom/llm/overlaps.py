@@ -47,7 +47,7 @@ FEW, DEPTH, CHUNK = 10_000, 4, 2_000
 
 _TRAILER = re.compile(r"^[ \t>]*(?:[A-Za-z]+(?:-[A-Za-z]+)*-by|cc|refs?|references|fixes|closes|resolves|see[- ]also|issue|bug|ticket|change-id|reviewed-on|link|part-of)[ \t]*:.*$|\(?cherry[ -]picked from commit [0-9a-f]+\)?", re.I | re.M)
 _REFERENCE = re.compile(r"\(?\b(?:gh-|pr ?|issue ?)?#\d+\)?|\b[A-Z]{2,10}-\d+\b(?=\s*[:\]])")
-_PREFIX = re.compile(r"^(?:\s*(?:\[[^\]\n]{1,40}\]|(?:re|re-?apply|fwd?|aw|wip|backport|squash!|fixup!|draft|hotfix)\s*[:!]))+", re.I)
+_PREFIX = re.compile(r"^(?:\s*(?:\[[^\]\n]+\]|(?:re|re-?apply|fwd?|aw|wip|backport|squash!|fixup!|draft|hotfix)\s*[:!]))+", re.I)
 _REVERT = re.compile(r"^\W*((?:revert\w*\W+)+)", re.I)
 _BUMP = re.compile(r"(\S+)\s+from\s+v?(\d\S*)\s+to\s+v?(\d\S*)", re.I)
 _LOOSE = re.compile(r"[\W_]+")

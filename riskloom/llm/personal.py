@@ -1,7 +1,10 @@
 """Personal information in free text: found and replaced by typed placeholders.
 
-Mail addresses, phone numbers, identity numbers and street addresses have forms
-of their own. Names have none, so terms are judged by what they disclose: over
+Mail addresses, phone numbers and street addresses have forms of their own.
+Identity numbers have a cue before them; the shape of a number (its digits and letters
+as classes) is a term as well, and what it discloses is the information that it
+gives about a cue, over the whole corpus. A shape above the threshold is an identity number
+without a cue, too. Names have no form, so words are judged by what they disclose: over
 the whole corpus, each capitalised term is counted, and counted again where it
 opens a name beyond doubt (a sign-off line, a mail header, a user field). The
 pointwise mutual information of term and person, as a share of the information
@@ -63,7 +66,11 @@ PHONE = re.compile(
 )
 
 _ID_CUE = r"(?:social\s+security(?:\s+(?:number|no\.?))?|\bSSN\b|\bpassport(?:\s+(?:number|no\.?))?|\bnational\s+id(?:entity)?(?:\s+(?:number|no\.?))?|\b(?:ID|identity)\s+card(?:\s+(?:number|no\.?))?|\btax(?:payer)?\s+(?:number|id|no\.?)|\bdriv(?:er|ing)(?:'?s)?\s+licen[cs]e(?:\s+(?:number|no\.?))?)"
-ID_NUMBER = re.compile(rf"(?i:{_ID_CUE})\s*[:=#]?\s*(?P<v>(?=[A-Z\d])[A-Z]{{0,3}}\d[\dA-Z]*(?:[-/\s]\d[\dA-Z]*)*)|(?<![\w.\-/])(?P<w>\d{{3}}-\d{{2}}-\d{{4}}|[A-Z]\d{{3}}-\d{{4}}-\d{{3}}|\d{{4}}-\d{{4}}-\d{{2}}|\d{{2}}/\d{{3}}/\d{{5}})(?![\w\-/]|\.\d)")
+ID_NUMBER = re.compile(rf"(?i:{_ID_CUE})\s*[:=#]?\s*(?P<v>(?=[A-Z\d])[A-Z]{{0,3}}\d[\dA-Z]*(?:[-/\s]\d[\dA-Z]*)*)")
+#: Tokens that may be identity numbers without a cue, and the cue where there is one. Whether a token's shape is one of theirs is learned.
+_NUMBER = re.compile(r"(?<![\w.\-/])[A-Z]{0,3}\d[\dA-Z]*(?:[-/][\dA-Z]+)*(?![\w\-/]|\.\d)")
+_CUED = re.compile(rf"(?i:{_ID_CUE})\s*[:=#]?\s*$")
+_DIGITS, _CAPITALS = re.compile(r"\d"), re.compile("[A-Z]")
 
 _TOWN = rf"{_CAP}(?:[ \t]{_CAP}|-{_CAP})?"
 _KIND = r"(?:Street|St\.?|Road|Rd\.?|Avenue|Ave\.?|Lane|Ln\.?|Drive|Dr\.|Boulevard|Blvd\.?|Court|Ct\.|Square|Terrace|Close|Crescent|Way|Highway)"
@@ -86,12 +93,18 @@ _BEFORE = re.compile(rf"(?<!\w)({_CAP}),\s$")
 _AFTER_PRODUCT = re.compile(r"\s+(?:release|milestone|theme|edition)\b")
 
 
+def number_shapes(text: str) -> list[tuple[int, int, str]]:
+    """Span and shape of the tokens of five digits and more that may be identity numbers: # and the token with 9 for a digit, A for a letter."""
+    found = [m for m in _NUMBER.finditer(text)] if any(c in text for c in "0123456789") else []
+    return [(*m.span(), "#" + _CAPITALS.sub("A", shape)) for m in found if (shape := _DIGITS.sub("9", m.group())).count("9") >= 5]
+
+
 def _may_be_certain(text: str) -> bool:
     return "by:" in text or "=" in text or "@" in text or '"' in text or ",\n" in text
 
 
 def term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(text) to (small, term, n, opens, ends), summed over a task: capitalised terms and how often they open and end a certain name; words in small letters."""
+    """(text) to (small, term, n, opens, ends), summed over a task: capitalised terms and how often they open and end a certain name; shapes of numbers and how often a cue of identity numbers stands before them; words in small letters."""
     n, opens, ends, small = Counter(), Counter(), Counter(), Counter()
 
     def out() -> pd.DataFrame:
@@ -104,6 +117,9 @@ def term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if t:
                 n.update(_TERM.findall(t.replace("_", " ")))
                 small.update(_LOWER.findall(t))
+                for s, _, shape in number_shapes(t):
+                    n[shape] += 1
+                    opens[shape] += _CUED.search(t, max(0, s - 60), s) is not None
                 if _may_be_certain(t):
                     for m in _CERTAIN.finditer(t):
                         opens[m["a"] or m["b"]] += 1
@@ -122,12 +138,14 @@ def disclosures(texts: DataFrame) -> DataFrame:
     """
     counts = texts.mapInPandas(term_counts, "small boolean, term string, n bigint, opens bigint, ends bigint").groupBy("small", "term").agg(*[F.sum(c).alias(c) for c in ("n", "opens", "ends")])
     counts = materialise(counts, "terms")  # used twice
-    total = scalars(counts, n=F.sum(F.when(~F.col("small"), F.col("n"))), small=F.sum(F.when(F.col("small"), F.col("n"))), opens=F.sum("opens"))
-    person = total["opens"] / total["n"]
-    share = lambda k: F.when(k > 0, F.log2((k / F.col("n")) / person) / -F.log2(person)).otherwise(F.lit(0.0))
+    shape = F.col("term").startswith("#")
+    of = lambda kind, c: F.sum(F.when(kind, F.col(c)))
+    total = scalars(counts, n=of(~F.col("small") & ~shape, "n"), small=of(F.col("small"), "n"), opens=of(~shape, "opens"), numbers=of(shape, "n"), cued=of(shape, "opens"))
+    entity = F.when(shape, F.least(total["cued"] / total["numbers"], F.lit(0.5))).otherwise(total["opens"] / total["n"])
+    share = lambda k: F.when(k > 0, F.log2((k / F.col("n")) / entity) / -F.log2(entity)).otherwise(F.lit(0.0))
     named = F.col("opens") >= 2
     frequent = named & (F.col("opens") >= LEAST_NAME * total["opens"])
-    often = F.when(F.col("small"), F.col("n") >= F.greatest(F.lit(OFTEN), LEAST_COMMON * total["small"])).otherwise(F.col("n") >= F.greatest(F.lit(2), LEAST_WORD * total["n"]))
+    often = F.when(shape, F.lit(False)).when(F.col("small"), F.col("n") >= F.greatest(F.lit(OFTEN), LEAST_COMMON * total["small"])).otherwise(F.col("n") >= F.greatest(F.lit(2), LEAST_WORD * total["n"]))
     return (
         counts.filter(named | often)
         .select("small", "term", "n", "opens", named.alias("named"), (frequent | often).alias("listed"), share(F.col("opens") + F.col("ends")).alias("disclosure"), share(F.col("opens")).alias("as_opening"))
@@ -156,8 +174,8 @@ def judged_terms(texts: DataFrame) -> tuple[frozenset[str], frozenset[str], froz
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _words_of(texts: pd.Series) -> pd.Series:
-    """The words of a text in small letters, each once."""
-    found = ({w for m in _WORD.findall(t.replace("_", " ")) for w in (m.lower(), m.capitalize().lower())} | set(_LOWER.findall(t)) if t else set() for t in texts)
+    """The words and number shapes of a text in small letters, each once."""
+    found = ({w for m in _WORD.findall(t.replace("_", " ")) for w in (m.lower(), m.capitalize().lower())} | set(_LOWER.findall(t)) | {shape.lower() for _, _, shape in number_shapes(t)} if t else set() for t in texts)
     return pd.Series([sorted(x) for x in found], dtype=object)
 
 
@@ -195,9 +213,12 @@ def find_personal(text: str, given: frozenset[str], ordinary: frozenset[str], co
 
     if digits:
         for m in ID_NUMBER.finditer(text):
-            s, e = m.span("v" if m["v"] else "w")
+            s, e = m.span("v")
             if sum(c.isdigit() for c in text[s:e]) >= 5 and free(s, e):
                 out.append((s, e, "id_number"))
+        for s, e, shape in number_shapes(text):
+            if (shape in given or shape in rare) and free(s, e):
+                out.append((s, e, "id_number"))
         for m in ADDRESS.finditer(text):
             if free(*m.span()):
                 out.append((*m.span(), "address"))

@@ -109,20 +109,21 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
-    docs, items = documents(spark, d, "doc_id", "text"), table(spark, d, "eval_items")
-    return leakage.leak_report(leakage.leaked_items(docs, items), docs, items)
+    items = table(spark, d, "eval_items")
+    return leakage.leak_report(leakage.leaked_items(documents(spark, d, "doc_id", "text"), items), items)
 
 
-def mix(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_sources(documents(spark, d, "doc_id", "text", "source"), table(spark, d, "source_targets"), keep=["doc_id"])
+def mix(spark: SparkSession, d: str, *keep: str) -> DataFrame:
+    return mixing.mix_sources(documents(spark, d, "doc_id", "text", "source"), table(spark, d, "source_targets"), keep=list(keep))
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    return mix(spark, d)
+    """The mix with its texts, in the order of a global shuffle."""
+    return mix(spark, d, "doc_id", "text")
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_report(mix(spark, d), table(spark, d, "source_targets"))
+    return mixing.mix_report(mix(spark, d, "doc_id"), table(spark, d, "source_targets"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

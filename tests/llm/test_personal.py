@@ -1,6 +1,7 @@
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from riskloom.llm import personal
 from riskloom.llm.personal import find_personal, judged_terms, personal_types, sanitise, sanitised
@@ -75,3 +76,17 @@ def test_rare_given_names_are_joined(spark, monkeypatch):
     assert {r.id for r in personal_types(df, ["id"]).collect() if r.pii_type == "name"} == {*range(22), 62, 63, 64}
     clean = {r.id: r.sanitised_text for r in sanitised(df, "text").collect()}
     assert [clean[i] for i in range(62, 67)] == ["Thanks to [NAME].", "thanks to [NAME].", "[NAME]", None, ""] and len(clean) == 67
+
+
+def test_shapes_of_identity_numbers_are_learned(spark):
+    """A shape that no pattern has: cues stand before it often enough to tell it without one; a shape of build numbers stays."""
+    cued = [f"passport no. {i:03d}-XK-{i:04d} of the user" for i in range(101, 121)]
+    plain = [f"Build {i:03d}-{i:04d} passed" for i in range(101, 161)] + ["ID card 160-0160 seen", "Seen 555-QR-7788 again", "Seen 555-7788 again"]
+    df = spark.createDataFrame(list(enumerate(cued + plain)), "id long, text string")
+    assert "#999-AA-9999" in judged_terms(df.select("text"))[0] and "#999-9999" not in judged_terms(df.select("text"))[0]
+    found = {r.id for r in personal_types(df, ["id"]).collect() if r.pii_type == "id_number"}
+    assert found == {*range(20), 80, 81}
+    clean = {r.id: r.sanitised_text for r in sanitised(df, "text").collect()}
+    assert clean[81] == "Seen [ID_NUMBER] again" and clean[82] == "Seen 555-7788 again"
+    again = df.unionByName(df.filter("id < 80").join(spark.range(1, 30).select(F.col("id").alias("k")), F.lit(True)).select((F.col("id") + 1000 * F.col("k")).alias("id"), "text"))
+    assert {r.id for r in personal_types(again, ["id"]).collect() if r.pii_type == "id_number" and r.id < 1000} == found
