@@ -9,7 +9,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.functions.columns import risk_level
+from riskloom.functions.columns import notable_factors, risk_level
 from riskloom.operators import history, models
 from riskloom.plans import retrain
 from riskloom.schemas import MODEL_VERSION
@@ -50,8 +50,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         sinks.csv(retrain.ingest(commits, days), own.output)
     elif own.command == "score":
         row = models.scored(PipelineModel.load(own.model_path), history.single_commit(commits, own.commit_hash))
-        factors = F.array(F.concat(F.col("files_touched").cast("string"), F.lit(" files touched")))
-        shown = row.select(sinks.report_text(F.col("hash"), F.col("risk_score"), risk_level(F.col("risk_score")), factors, F.col("author")).alias("r"), sinks.gate_lines(F.col("risk_score"), F.col("risk_label")).alias("g")).first()
+        shown = row.select(sinks.report_text(F.col("hash"), F.col("risk_score"), risk_level(F.col("risk_score")), notable_factors(), F.col("author")).alias("r"), sinks.gate_lines(F.col("risk_score"), F.col("risk_label")).alias("g")).first()
         print(shown["r"], shown["g"], sep="\n\n")
     else:
         versions = readers.cached(spark, own.registry, MODEL_VERSION, lambda: spark.createDataFrame([], MODEL_VERSION))

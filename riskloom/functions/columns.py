@@ -109,6 +109,30 @@ def first_labels(rules: Sequence[tuple[Column, Column]], most: int, default: str
     return F.when(F.size(held) > 0, F.slice(held, 1, most)).otherwise(F.array(F.lit(default)))
 
 
+# Limits and wording of what is notable in a change.
+_FILES, _LINES, _DIRECTORIES, _KNOWN_AUTHOR = 5, 100, 5, 5
+_NIGHT_ENDS, _NIGHT_BEGINS, _MORNING_ENDS = 6, 22, 8
+_NOTHING_NOTABLE = "no notable risk factors"
+
+
+def notable_factors(most: int = 3) -> Column:
+    """The first `most` notable things of a feature row, in the order of importance; a missing feature counts as unremarkable."""
+    number = lambda c, default: F.coalesce(F.col(c), F.lit(default))
+    files, dirs, hour, prior = number("files_touched", 0), number("dirs_touched", 0), number("hour_of_day", 12), number("author_prior_commits", 0)
+    lines = number("lines_added", 0) + number("lines_deleted", 0)
+    rules = [
+        (files > _FILES, F.format_string("%d files touched", files)),
+        (lines > _LINES, F.format_string("%d lines changed", lines)),
+        ((hour < _NIGHT_ENDS) | (hour > _NIGHT_BEGINS), F.format_string("changed at %d:00 (late night/early morning)", hour)),
+        (hour.between(_NIGHT_ENDS, _MORNING_ENDS - 1), F.format_string("changed at %d:00 (early morning)", hour)),
+        (prior == 0, F.lit("first-time contributor")),
+        (prior.between(1, _KNOWN_AUTHOR - 1), F.format_string("new contributor (%d prior commits)", prior)),
+        (number("is_fix_bug_revert", 0) == 1, F.lit("commit message contains fix/bug/revert keywords")),
+        (dirs > _DIRECTORIES, F.format_string("spans %d directories", dirs)),
+    ]
+    return first_labels(rules, most, _NOTHING_NOTABLE)
+
+
 def lookup(key: Column, table: dict[str, str], default: str) -> Column:
     """The entry of a fixed map."""
     pairs = [F.lit(x) for kv in table.items() for x in kv]

@@ -17,6 +17,12 @@ def prepared(rows: DataFrame, key: str = "hash", event_time: str = "date") -> Da
     return out.filter(F.col(event_time).isNotNull())
 
 
+def unreadable(rows: DataFrame, event_time: str = "date") -> DataFrame:
+    """(n_rows, dropped): how many rows `prepared` drops for want of a readable time. One pass, nothing but two counts is shuffled."""
+    moment = F.try_to_timestamp(event_time) if dict(rows.dtypes)[event_time] == "string" else F.col(event_time)
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(moment.isNull()).alias("dropped"))
+
+
 def online(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """The online table: the last row per key."""
     return latest_per_key(rows, key, *order)

@@ -7,10 +7,10 @@ equal keys share their place.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.operators.skew import quantile_slices, sliced_running
+from riskloom.operators.skew import pieces, quantile_slices, sliced_running
 from riskloom.session import scalars
 
 
@@ -19,20 +19,17 @@ def seeded(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}")))
 
 
-def _ranked(df: DataFrame, groups: list[str], key: str, seed: int) -> DataFrame:
-    placed = df.withColumn("__place", seeded(key, seed))
-    return sliced_running(placed, groups, F.conv(F.substring("__place", 1, 2), 16, 10).cast("int"), [F.col("__place"), F.col(key)], {"__rank": F.lit(1).cast("bigint")})
-
-
-def _sizes(df: DataFrame, groups: list[str]) -> DataFrame:
-    return df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__size")).select(*[F.col(g).alias(f"__g_{g}") for g in groups], "__size")
+def _placed(df: DataFrame, key: str, seed: int) -> tuple[DataFrame, Column]:
+    """With the place of each row, and the slice of places it lies in: two slices or more for each shuffle partition."""
+    digits = len(f"{pieces(df, 256, 16**6) - 1:x}")
+    return df.withColumn("__place", seeded(key, seed)), F.conv(F.substring("__place", 1, digits), 16, 10).cast("int")
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Adds `is_test`: round(test_share * n) rows of each class are 1. Classes are few; their sizes are one row each."""
-    ranked, sizes = _ranked(df, [label], key, seed), _sizes(df, [label])
-    joined = ranked.join(sizes, F.col(label).eqNullSafe(F.col(f"__g_{label}")))
-    return joined.withColumn("is_test", (F.col("__rank") <= F.round(F.lit(test_share) * F.col("__size"))).cast("int")).select(*[c for c in df.columns if c != "is_test"], "is_test")
+    """Adds `is_test`: round(test_share * n) rows of each class are 1. A class's size comes with the offsets of its slices."""
+    placed, part = _placed(df, key, seed)
+    ranked = sliced_running(placed, [label], part, [F.col("__place"), F.col(key)], {"__rank": F.lit(1).cast("bigint")}, {"__rank": "__size"})
+    return ranked.withColumn("is_test", (F.col("__rank") <= F.round(F.lit(test_share) * F.col("__size"))).cast("int")).select(*[c for c in df.columns if c != "is_test"], "is_test")
 
 
 def stratified_sample(df: DataFrame, key: str, label: str, size: int, seed: int = 42) -> DataFrame:
@@ -40,7 +37,15 @@ def stratified_sample(df: DataFrame, key: str, label: str, size: int, seed: int
     known = df.filter(F.col(label).isNotNull())
     ones = F.floor(F.lit(float(size)) * scalars(known, share=F.avg((F.col(label) == 1).cast("double")))["share"])
     quota = F.when(F.col(label) == 1, ones).otherwise(F.lit(size) - ones)
-    return _ranked(known, [label], key, seed).filter(F.col("__rank") <= quota).select(*df.columns)
+    placed, part = _placed(known, key, seed)
+    placed = placed.withColumn("__part", part)
+    # Only the first slices of a class, which hold its quota, are ranked.
+    before = Window.partitionBy("__one").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy((F.col(label) == 1).alias("__one"), F.col("__part").alias("__at")).agg(F.count(F.lit(1)).alias("__n"))
+    first = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).filter(F.col("__before") < F.when(F.col("__one"), ones).otherwise(F.lit(size) - ones))
+    kept = placed.join(first, (F.col(label) == 1).eqNullSafe(F.col("__one")) & (F.col("__part") == F.col("__at")), "left_semi")
+    ranked = kept.withColumn("__rank", F.row_number().over(Window.partitionBy(label).orderBy("__place", key)))
+    return ranked.filter(F.col("__rank") <= quota).select(*df.columns)
 
 
 def chronological_split(df: DataFrame, date: str, tie: str, share: float = 0.8) -> DataFrame:

@@ -96,8 +96,8 @@ def quantile_slices(df: DataFrame, column: Column, slices: int | None = None) ->
     return F.when(value.isNull(), F.lit(0)).otherwise(place(0, len(cuts)))
 
 
-def sliced_running(df: DataFrame, keys: Sequence[str], slice_no: Column, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
-    """Adds running sums within `keys` in the given order, the row included, without a task over a whole group.
+def sliced_running(df: DataFrame, keys: Sequence[str], slice_no: Column, order: Sequence[Column], sums: dict[str, Column], totals: dict[str, str] | None = None) -> DataFrame:
+    """Adds running sums within `keys` in the given order, the row included, without a task over a whole group. `totals` names columns for whole sums of the group.
 
     `slice_no` has to rise with the order. A window runs within (keys, slice)
     only; the sums of a group's earlier slices, one row per slice, are added.
@@ -110,7 +110,7 @@ def sliced_running(df: DataFrame, keys: Sequence[str], slice_no: Column, order:
     before = Window.partitionBy(*[f"__k_{k}" for k in keys]).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
     per = work.groupBy(*keys, "__slice").agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in names])
     per = per.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__slice").alias("__at"), *[f"__s_{n}" for n in names])
-    per = per.select(*[f"__k_{k}" for k in keys], "__at", *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__b_{n}") for n in names])
+    per = per.select(*[f"__k_{k}" for k in keys], "__at", *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__b_{n}") for n in names], *[F.sum(f"__s_{n}").over(Window.partitionBy(*[f"__k_{k}" for k in keys])).alias(t) for n, t in (totals or {}).items()])
     own = Window.partitionBy(*keys, "__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     for n in names:
         work = work.withColumn(f"__r_{n}", F.sum(f"__v_{n}").over(own))
@@ -118,7 +118,7 @@ def sliced_running(df: DataFrame, keys: Sequence[str], slice_no: Column, order:
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"__k_{k}"))
     done = work.join(per if keys else F.broadcast(per), same)  # without keys: one row per slice
-    return done.select(*[F.col(c) for c in df.columns if c not in names], *[(F.coalesce(F.col(f"__r_{n}"), F.lit(0)) + F.col(f"__b_{n}")).alias(n) for n in names])
+    return done.select(*[F.col(c) for c in df.columns if c not in names], *[(F.coalesce(F.col(f"__r_{n}"), F.lit(0)) + F.col(f"__b_{n}")).alias(n) for n in names], *(totals or {}).values())
 
 
 def earlier_rows(df: DataFrame, key: str, order: str, tie: str, out: str, slices: int | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,7 +76,7 @@ def src4_csv_round_trip(s, d):
     from riskloom.schemas import MODEL_VERSION
     from riskloom.session import shared_dir
 
-    at = f"{shared_dir(s).rstrip('/')}/riskloom-csv-round-trip-{abs(hash(d))}"
+    at = f"{shared_dir(s).rstrip('/')}/riskloom-csv-round-trip-{zlib.crc32(d.encode())}"
     sinks.csv(table(s, d, "model_versions"), at)
     return readers.csv(s, at, MODEL_VERSION)
 
@@ -86,7 +87,7 @@ def snk5_json_round_trip(s, d):
     from riskloom.schemas import ISSUE
     from riskloom.session import shared_dir
 
-    at = f"{shared_dir(s).rstrip('/')}/riskloom-json-round-trip-{abs(hash(d))}"
+    at = f"{shared_dir(s).rstrip('/')}/riskloom-json-round-trip-{zlib.crc32(d.encode())}"
     sinks.json_lines(issue(s, d), at)
     return readers.json_lines(s, at, ISSUE).select("id", "repo", "status", "details", "risk_score")
 
@@ -119,23 +120,34 @@ def snk4_toggle_issue(s, d):
 
 
 @query("""select row_id, printf('risk_score=%.4f' || chr(10) || 'risk_label=%s', p, case when p < 0.3 then 'low' when p <= 0.6 then 'medium' else 'high' end) as lines
-          from (select row_id, (lines_added % 100) / 100.0::double as p from commit_features where lines_added >= 0)""")
+          from (select row_id, coalesce(abs(lines_added) % 100, 0) / 100.0::double as p from commit_features)""")
 def snk8_gate_lines(s, d):
-    score = ((F.col("lines_added") % 100) / 100.0).cast("double")
-    return commits(s, d).filter("lines_added >= 0").select("row_id", sinks.gate_lines(score, C.risk_level(score)).alias("lines"))
+    score = (F.coalesce(F.abs("lines_added") % 100, F.lit(0)) / 100.0).cast("double")
+    return commits(s, d).select("row_id", sinks.gate_lines(score, C.risk_level(score)).alias("lines"))
 
 
-@query()
+_FACTORS = """list_filter([case when files_touched > 5 then files_touched || ' files touched' end,
+      case when coalesce(lines_added, 0) + coalesce(lines_deleted, 0) > 100 then (coalesce(lines_added, 0) + coalesce(lines_deleted, 0)) || ' lines changed' end,
+      case when hour_of_day < 6 or hour_of_day > 22 then 'changed at ' || hour_of_day || ':00 (late night/early morning)' when hour_of_day < 8 then 'changed at ' || hour_of_day || ':00 (early morning)' end,
+      case when coalesce(author_prior_commits, 0) = 0 then 'first-time contributor' when author_prior_commits between 1 and 4 then 'new contributor (' || author_prior_commits || ' prior commits)' end,
+      case when is_fix_bug_revert = 1 then 'commit message contains fix/bug/revert keywords' end, case when dirs_touched > 5 then 'spans ' || dirs_touched || ' directories' end], lambda x: x is not null)[1:3]"""
+_SCORED = "(select *, coalesce(abs(lines_added) % 100, 0) / 100.0::double as p from commit_features)"
+
+
+@query(f"""select row_id, '## Change risk ' || case when p < 0.3 then '[LOW]' when p <= 0.6 then '[MED]' else '[HIGH]' end || chr(10) || chr(10) || '| Field | Value |' || chr(10) || '|---|---|' || chr(10)
+           || '| Commit | `' || left(coalesce(hash, ''), 12) || '` |' || chr(10) || case when coalesce(author, '') <> '' then '| Author | ' || author || ' |' || chr(10) else '' end
+           || printf('| Score | %.4f |', p) || chr(10) || '| Level | ' || case when p < 0.3 then 'low' when p <= 0.6 then 'medium' else 'high' end || ' |' || chr(10) || chr(10)
+           || array_to_string(list_transform(case when len(f) > 0 then f else ['no notable risk factors'] end, lambda x: '- ' || x), chr(10)) as report
+           from (select *, {_FACTORS} as f from {_SCORED})""")
 def snk7_markdown_report(s, d):
-    score = F.lit(0.42)
-    factors = F.array(F.concat(F.col("files_touched").cast("string"), F.lit(" files touched")))
-    return commits(s, d).select("row_id", sinks.report_text(F.coalesce("hash", F.lit("")), score, C.risk_level(score), factors, F.coalesce("author", F.lit(""))).alias("report"))
+    score = (F.coalesce(F.abs("lines_added") % 100, F.lit(0)) / 100.0).cast("double")
+    return commits(s, d).select("row_id", sinks.report_text(F.coalesce("hash", F.lit("")), score, C.risk_level(score), C.notable_factors(), F.coalesce("author", F.lit(""))).alias("report"))
 
 
 @query("""select touch_id, row_number() over (partition by source_repo order by date desc, path) <= 5 as keep
-          from (select touch_id, source_repo, date, cast(touch_id as varchar) as path from file_touches where ord = 0)""")
+          from (select touch_id, source_repo, date, cast(touch_id as varchar) as path from file_touches)""")
 def snk10_keep_newest(s, d):
-    files = touches(s, d).filter("ord = 0").select("touch_id", "source_repo", "date", F.col("touch_id").cast("string").alias("path"))
+    files = touches(s, d).select("touch_id", "source_repo", "date", F.col("touch_id").cast("string").alias("path"))
     return sinks.keep_newest(files, "source_repo", "date").select("touch_id", "keep")
 
 
@@ -162,9 +174,15 @@ def prj6_numeric_columns(s, d):
     return s.createDataFrame([(n,) for n in names], "column_name string")
 
 
-@query("""select id, '{"id":' || id || ',"status":' || to_json(status) || ',"repo":' || coalesce(to_json(repo)::varchar, 'null') || '}' as json from issue""")
+def _json(column: str, kind: str = "text") -> str:
+    value = {"text": f"to_json({column})::varchar", "number": f"cast({column} as varchar)", "time": f"'\"' || strftime({column}, '%Y-%m-%dT%H:%M:%S.%f') || '\"'"}[kind]
+    return f"""'"{column}":' || coalesce({value}, 'null')"""
+
+
+@query("select id, '{' || " + " || ',' || ".join(_json(c, k) for c, k in (("id", "number"), ("gate", "number"), ("type", "text"), ("repo", "text"), ("status", "text"), ("details", "text"), ("commit_hash", "text"), ("risk_score", "number"), ("created_at", "time"), ("updated_at", "time"))) + " || '}' as json from issue")
 def prj7_row_json(s, d):
-    return issue(s, d).select("id", F.to_json(F.struct("id", "status", "repo"), {"ignoreNullFields": "false"}).alias("json"))
+    """Whole rows as JSON, times in ISO form, nulls kept."""
+    return issues.as_json(issue(s, d))
 
 
 @query("""select row_id, coalesce(lines_added, 0) as lines_added, coalesce(hash, '') as commit_hash from commit_features""")
@@ -234,10 +252,11 @@ def dt3_whole_days(s, d):
     return issue(s, d).select("id", C.whole_days(F.col("created_at"), F.col("updated_at")).alias("days"))
 
 
-@query("""select row_id, case when regexp_full_match(date_text, '[0-9]{4}-[0-9]{2}-[0-9]{2}') then try_strptime(date_text, '%Y-%m-%d') end as day from
-          (select row_id, left(date_text, 10) as date_text from commit_features)""")
+@query("""select row_id, day, case when regexp_full_match(date_text, '[0-9]{4}-[0-9]{2}-[0-9]{2}') then try_strptime(date_text, '%Y-%m-%d') end as strict_day from
+          (select row_id, date_text, case when regexp_matches(date_text, '^[0-9]{4}-[0-9]{2}-[0-9]{2}') then try_strptime(left(date_text, 10), '%Y-%m-%d') end as day from commit_features)""")
 def dt4_parse_days(s, d):
-    return commits(s, d).select("row_id", C.parse_day(F.left("date_text", F.lit(10))).alias("day"))
+    """The day that the text begins with, and the day where the text is nothing else."""
+    return commits(s, d).select("row_id", C.parse_day(F.regexp_extract("date_text", r"^(\d{4}-\d{2}-\d{2})", 1)).alias("day"), C.parse_day(F.col("date_text")).alias("strict_day"))
 
 
 @query("""select id, case when s < 0.3 then 'low' when s <= 0.6 then 'medium' when s is not null then 'high' end as level, cast(trunc(s * 100) as int) as percent,
@@ -249,13 +268,10 @@ def mth1_levels(s, d):
     return df.select("id", level.alias("level"), C.percent(F.col("s")).alias("percent"), C.lookup(level, sinks.BADGES, "[UNK]").alias("badge"))
 
 
-@query("""select row_id, case when len(k) > 0 then array_to_string(k[1:2], ', ') else 'none' end as labels from (select row_id, list_filter([
-            case when files_touched > 5 then files_touched || ' files' end, case when lines_added + lines_deleted > 100 then (lines_added + lines_deleted) || ' lines' end,
-            case when author_prior_commits < 5 then 'new author' end], lambda x: x is not null) as k from commit_features)""")
+@query(f"select row_id, case when len(f) > 0 then array_to_string(f, ', ') else 'no notable risk factors' end as labels from (select row_id, {_FACTORS} as f from commit_features)")
 def cnd1_first_labels(s, d):
-    lines = F.col("lines_added") + F.col("lines_deleted")
-    rules = [(F.col("files_touched") > 5, F.concat(F.col("files_touched").cast("string"), F.lit(" files"))), (lines > 100, F.concat(lines.cast("string"), F.lit(" lines"))), (F.col("author_prior_commits") < 5, F.lit("new author"))]
-    return commits(s, d).select("row_id", F.array_join(C.first_labels(rules, 2, "none"), ", ").alias("labels"))
+    """The first three notable things of each change."""
+    return commits(s, d).select("row_id", F.array_join(C.notable_factors(), ", ").alias("labels"))
 
 
 @query("select event_id, cast(props->>'k' as int) as k from events")
@@ -265,8 +281,9 @@ def jsn1_decode(s, d):
 
 @query("""with k as (select hash, source_repo, count(*) as n from file_touches group by hash, source_repo) select hash, source_repo, n from k""")
 def arr1_explode_files(s, d):
-    """Nested rows, one per touch, exploded again and counted per commit."""
-    nested = touches(s, d).select("hash", "source_repo", F.col("date").alias("author_date"), "seq", F.array(F.struct("new_path", "old_path")).alias("modified_files"))
+    """Commits with their lists of files, exploded again and counted per commit. A list holds 200 files at most; a commit with more has several rows."""
+    piece = F.floor(F.col("ord") / 200)
+    nested = touches(s, d).groupBy("hash", "source_repo", F.col("date").alias("author_date"), "seq", piece.alias("piece")).agg(F.collect_list(F.struct("new_path", "old_path")).alias("modified_files"))
     return history.explode_touches(nested).groupBy("hash", "source_repo").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -312,11 +329,12 @@ def jn2_semi_join_flag(s, d):
     return commits(s, d).select("row_id", "hash").join(hit, F.col("hash") == F.col("h"), "left").select("row_id", F.col("h").isNotNull().cast("int").alias("touched_again"))
 
 
-@query("""select row_id, source_repo from commit_features union all select row_id, source_repo from commit_features""")
+@query("""select row_id, hash, case when data_split is null then 'none' else data_split end as source_repo from commit_features where data_split in ('train', 'validation', 'test') or data_split is null""")
 def set1_union_repos(s, d):
-    """Parts of the table as repositories of their own names, in one table again; both halves keep all rows."""
-    df = commits(s, d).select("row_id", "hash", "source_repo")
-    return df.unionByName(df).select("row_id", "source_repo")
+    """The parts of the table as tables of repositories named after them, in one table again, the name behind the hash."""
+    df = commits(s, d).select("row_id", "hash", "data_split")
+    parts = {name: df.filter(F.col("data_split").eqNullSafe(F.lit(None if name == "none" else name))).drop("data_split") for name in ("train", "validation", "test", "none")}
+    return readers.union_repos(parts | {"missing": None})
 
 
 # --- aggregates ---------------------------------------------------------------
@@ -342,6 +360,12 @@ def agg4_value_shares(s, d):
     return metrics.value_shares(table(s, d, "documents"), "source")
 
 
+@query("select count(*) as n_rows, count(*) filter (where date_text is null or not regexp_matches(date_text, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$')) as not_a_day from commit_features")
+def flt4_dropped_times(s, d):
+    """How many rows the preparation of the store drops, if it is given the days that texts hold."""
+    return featurestore.unreadable(commits(s, d).select(C.parse_day(F.col("date_text")).alias("date"))).withColumnRenamed("dropped", "not_a_day")
+
+
 @query("""select cast(created_at as date) as day, count(*) filter (where status = 'open') as open, count(*) filter (where status = 'resolved') as resolved
           from issue where created_at >= timestamp '2024-05-01' - interval 400 days group by 1""")
 def agg5_daily_status(s, d):
@@ -495,12 +519,17 @@ def spl2_stratified_sample(s, d):
     return sampling.stratified_sample(commits(s, d).select("row_id", "risky"), "row_id", "risky", 400)
 
 
-@query("select source_repo, count(*) as test_rows, (select count(*) from commit_features) - count(*) as train_rows from commit_features where source_repo is not null group by source_repo")
+@query("""with k as (select source_repo, count(*) as n, sum(risky) as ones, count(*) filter (where risky = is_fix_bug_revert) as hits from commit_features where risky is not null and is_fix_bug_revert is not null group by source_repo)
+          select source_repo, n as test_rows, (select sum(n) from k) - n as train_rows, ((select sum(ones) from k) - ones) / ((select sum(n) from k) - n)::double as train_risky_share,
+                 ones / n::double as test_risky_share, hits / n::double as test_accuracy from k where source_repo is not null""")
 def spl3_leave_one_out(s, d):
-    """Sizes of the folds that hold out one repository each, without making the folds."""
-    per = commits(s, d).groupBy("source_repo").agg(F.count(F.lit(1)).alias("test_rows"))
-    total = scalars(commits(s, d), n=F.count(F.lit(1)))["n"]
-    return per.filter("source_repo is not null").select("source_repo", "test_rows", (total - F.col("test_rows")).alias("train_rows"))
+    """Each repository held out: sizes, risky shares of both sides, and how well the keyword flag predicts the held-out side. A fold's training side is the whole less the held-out part, so no fold is made as a table."""
+    known = predicted(s, d, "source_repo").filter("risky is not null and prediction is not null")
+    per = known.groupBy("source_repo").agg(F.count(F.lit(1)).alias("n"), F.sum("risky").alias("ones"), F.count_if(F.col("risky") == F.col("prediction")).alias("hits"))
+    all_rows = scalars(known, n=F.count(F.lit(1)), ones=F.sum("risky"))
+    rest = all_rows["n"] - F.col("n")
+    share = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))
+    return per.filter("source_repo is not null").select("source_repo", F.col("n").alias("test_rows"), rest.alias("train_rows"), share(all_rows["ones"] - F.col("ones"), rest).alias("train_risky_share"), share(F.col("ones"), F.col("n")).alias("test_risky_share"), share(F.col("hits"), F.col("n")).alias("test_accuracy"))
 
 
 # --- joins, sets, feature store, registry --------------------------------------
@@ -596,13 +625,13 @@ def dq6_issue_validity(s, d):
 
 
 def _drift(s, d):
-    parted = sampling.chronological_split(commits(s, d).select("row_id", "date", "lines_added", "files_touched", "commit_msg_length"), "date", "row_id")
+    parted = sampling.chronological_split(commits(s, d).select("row_id", "date", *FEATURES), "date", "row_id")
     parted = materialise(parted, "parts")
-    return quality.drift(parted.filter("part = 'reference'"), parted.filter("part = 'current'"), ["lines_added", "files_touched", "commit_msg_length"])
+    return quality.drift(parted.filter("part = 'reference'"), parted.filter("part = 'current'"), list(FEATURES))
 
 
 _KS = """(with p as (select *, row_number() over (order by date nulls first, row_id) <= floor(0.8 * count(*) over ()) as ref from commit_features),
-    l as (select 'lines_added' as column_name, lines_added::double as v, ref from p union all select 'files_touched', files_touched, ref from p union all select 'commit_msg_length', commit_msg_length, ref from p),
+    l as (""" + " union all ".join(f"select '{c}' as column_name, {c}::double as v, ref from p" for c in FEATURES) + """),
     c as (select column_name, v, count(*) filter (where ref) as r, count(*) filter (where not ref) as c from l where v is not null group by all),
     k as (select column_name, sum(r) over w / (sum(r) over q)::double as fr, sum(c) over w / (sum(c) over q)::double as fc, sum(r) over q as n_reference, sum(c) over q as n_current from c
           window w as (partition by column_name order by v), q as (partition by column_name))
@@ -614,7 +643,9 @@ def dq8_drift_statistic(s, d):
     return _drift(s, d).select("column_name", "n_reference", "n_current", "statistic")
 
 
-@query()
+@query(f"""select count(*) as columns, count(*) filter (where p < 0.05) as drifted, count(*) filter (where p < 0.05) / count(*)::double as share from (
+           select case when l < 0.2 then 1.0 else greatest(least(list_sum(list_transform(range(1, 21), lambda k: 2.0 * (case when k % 2 = 1 then 1 else -1 end) * exp(-2.0 * k * k * l * l))), 1.0), 0.0) end as p
+           from (select (e + 0.12 + 0.11 / e) * statistic as l from (select statistic, sqrt(n_reference * n_current / (n_reference + n_current)::double) as e from {_KS})))""")
 def dq8_drift_report(s, d):
     return quality.drift_share(_drift(s, d))
 
@@ -641,12 +672,13 @@ def dq10_sanity_order(s, d):
     return got.agg(F.min_by("risk_score", "lines_added").alias("safe"), F.max_by("risk_score", "lines_added").alias("risky")).withColumn("ordered", F.col("risky") > F.col("safe"))
 
 
-@query("select row_id, lines_added, (lines_added - avg(lines_added) over ()) / nullif(stddev_samp(lines_added) over (), 0) as scaled from commit_features where lines_added is not null")
+@query("""select row_id, lines_added, (lines_added - avg(lines_added) filter (where data_split = 'train') over ()) / nullif(stddev_samp(lines_added) filter (where data_split = 'train') over (), 0) as scaled
+          from commit_features where lines_added is not null""")
 def mth5_standardised(s, d):
-    """Mean 0, sample deviation 1; the two numbers are one row."""
-    df = commits(s, d).select("row_id", "lines_added").filter("lines_added is not null")
-    m = scalars(df, mean=F.avg("lines_added"), sd=F.stddev_samp("lines_added"))
-    return df.withColumn("scaled", F.try_divide(F.col("lines_added") - m["mean"], m["sd"]))
+    """Mean 0 and sample deviation 1 of the training rows, applied to all; the two numbers are one row."""
+    df = commits(s, d).select("row_id", "lines_added", "data_split").filter("lines_added is not null")
+    m = scalars(df.filter("data_split = 'train'"), mean=F.avg("lines_added"), sd=F.stddev_samp("lines_added"))
+    return df.select("row_id", "lines_added", F.try_divide(F.col("lines_added") - m["mean"], m["sd"]).alias("scaled"))
 
 
 @query("select source_repo, coalesce(sum(risky)::double / nullif(sum(case when risky is null then 0 else lines_deleted end), 0), 0) as ratio from commit_features group by source_repo")
@@ -747,4 +779,4 @@ def str_issue_counts(s, d):
 @query(f"select hash from {_AGAIN}")
 def str_incremental_label(s, d):
     """The re-touch label from a stateful stream; the files are one batch, so the result equals the batch query."""
-    return streams.run_once(streams.retouched_stream(streams.source(s, d, "file_touches")), "append").distinct()
+    return streams.retouched_once(streams.source(s, d, "file_touches")).distinct()

@@ -10,17 +10,13 @@ complete mode or closed windows.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from riskloom.functions.columns import first_filled
-from riskloom.session import shared_dir, table
+from riskloom.operators.history import retouched, with_path
+from riskloom.session import materialise, scalars, shared_dir, table
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,33 +49,35 @@ def status_counts(issues: DataFrame) -> DataFrame:
     return issues.groupBy("type", "status").agg(F.count(F.lit(1)).alias("issues"))
 
 
-LABEL_OUT = T.StructType([T.StructField("hash", T.StringType())])
-LABEL_STATE = T.StructType([T.StructField("hash", T.StringType()), T.StructField("at", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("ord", T.IntegerType()), T.StructField("touch", T.LongType())])
-
-
-def _label(days: int):
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """Keeps the last touch of a path; emits commits whose path is touched again in time."""
-        rows = pd.concat(list(batches)).sort_values(["date", "seq", "ord", "touch_id"], kind="stable")
-        last = state.get if state.exists else None
-        out = []
-        for h, d, s, o, i in zip(rows["hash"], rows["date"], rows["seq"], rows["ord"], rows["touch_id"]):
-            at = int(pd.Timestamp(d).value // 1000)
-            if last is not None and 0 <= at - last[1] < (days + 1) * 86_400_000_000:
-                out.append(last[0])
-            if last is None or (at, s, o, i) >= last[1:]:
-                last = (h, at, int(s), int(o), int(i))
-        state.update(last)
-        yield pd.DataFrame({"hash": out}, dtype=object)
-
-    return step
+def retouched_once(touches: DataFrame, days: int = 7, late: int = 90) -> DataFrame:
+    """(hash), each once a batch: runs a stream of touches over what is there; commits whose path is touched again within `days`.
 
+    Touches of a path arrive in date order, or within one batch. What is kept between
+    batches is a table: the last touch of each path, as far as it is not older than
+    `days` and `late` more days before the newest. A batch joins it and is
+    labelled by the batch operator, in slices of time, so a path that holds much of the
+    table is in many tasks. Batches are numbered: one that is run again reads the
+    table that it read before, and replaces its own results.
+    """
+    spark = touches.sparkSession
+    at = f"{shared_dir(spark).rstrip('/')}/riskloom-stream-{uuid.uuid4().hex}"
+    columns = ["source_repo", "path", "hash", "date", "seq", "ord", "touch_id"]
 
-def retouched_stream(touches: DataFrame, days: int = 7) -> DataFrame:
-    """(hash), possibly repeated: commits whose path is touched again within `days`; touches of a path arrive in date order, or within one batch."""
-    rows = touches.withColumn("path", first_filled(F.col("new_path"), F.col("old_path"))).filter("path is not null").withColumn("date", F.col("date").cast("timestamp"))
-    grouped = rows.select("source_repo", "path", "hash", "date", "seq", "ord", "touch_id").groupBy("source_repo", "path")
-    return grouped.applyInPandasWithState(_label(days), LABEL_OUT, LABEL_STATE, "append", GroupStateTimeout.NoTimeout)
+    def write(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        own = with_path(batch).select(*columns).filter("date is not null")
+        if number:
+            own = own.unionByName(session.read.schema(own.schema).parquet(f"{at}/state/batch={number - 1}"))
+        own = materialise(own, "touches")
+        hits = retouched(own.withColumns({"new_path": F.col("path"), "old_path": F.lit(None).cast("string")}), days)
+        hits.write.mode("overwrite").parquet(f"{at}/table/batch={number}")
+        last = own.groupBy("source_repo", "path").agg(F.max(F.struct("date", "seq", "ord", "touch_id", "hash")).alias("t")).select("source_repo", "path", "t.*").select(*columns)
+        newest = scalars(own, d=F.max("date"))["d"]
+        last.filter(F.col("date") >= newest - F.expr(f"interval {days + 1 + late} days")).write.mode("overwrite").parquet(f"{at}/state/batch={number}")
+
+    query = touches.writeStream.foreachBatch(write).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema("hash string").option("recursiveFileLookup", "true").parquet(f"{at}/table")
 
 
 def scored_stream(requests: DataFrame, model) -> DataFrame:

@@ -18,7 +18,7 @@ def test_the_label_keeps_its_state_between_batches(spark, tmp_path):
     for k in range(4):  # arrive in order of date, in four files
         spark.createDataFrame(rows[k * 50 : k * 50 + 50], TOUCH).coalesce(1).write.mode("append").parquet(str(tmp_path / "touches"))
     stream = spark.readStream.schema(TOUCH).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "touches"))
-    got = {r.hash for r in streams.run_once(streams.retouched_stream(stream), "append").collect()}
+    got = {r.hash for r in streams.retouched_once(stream).collect()}
     assert got == {r.hash for r in retouched(spark.createDataFrame(rows, TOUCH)).collect()} and got
 
 
