@@ -125,10 +125,13 @@ def earlier_rows(df: DataFrame, key: str, order: str, tie: str, out: str, slices
     """Adds the number of earlier rows of the same key, in the order (order, tie).
 
     A row with a null key gets null. `tie` has to be unique within equal values
-    of `order`. Rows with a null `order` come first.
+    of `order`. Rows with a null `order` come first, in slices of their own by `tie`.
     """
     keyed = df.filter(F.col(key).isNotNull())
-    done = sliced_running(keyed, [key], quantile_slices(keyed, F.col(order), slices), [F.col(order).asc_nulls_first(), F.col(tie)], {out: F.lit(1).cast("bigint")})
+    unordered = F.col(order).isNull()
+    behind = (slices or pieces(df, 64, 1024)) + 1
+    part = F.when(unordered, quantile_slices(keyed.filter(unordered), F.col(tie), slices)).otherwise(quantile_slices(keyed, F.col(order), slices) + behind)
+    done = sliced_running(keyed, [key], part, [F.col(order).asc_nulls_first(), F.col(tie)], {out: F.lit(1).cast("bigint")})
     rest = df.filter(F.col(key).isNull()).withColumn(out, F.lit(None).cast("bigint"))
     kept = [c for c in df.columns if c != out]
     return done.withColumn(out, F.col(out) - 1).select(*kept, out).unionByName(rest.select(*kept, out))

@@ -83,3 +83,13 @@ def test_running_sums_over_the_whole_table(spark):
         assert got[i] == total
     empty = df.limit(0)
     assert sliced_running(empty, [], quantile_slices(empty, F.col("id"), 5), [F.col("id")], {"s": F.col("v")}).count() == 0
+
+
+def test_many_rows_without_an_order_lie_in_slices(spark):
+    rows = [(i, "hot" if i % 3 else "other", None if i % 2 else i % 40) for i in range(600)]
+    got = {r.id: r.n for r in earlier_rows(spark.createDataFrame(rows, "id int, k string, at int"), "k", "at", "id", "n", slices=8).collect()}
+    want = {}
+    for key in ("hot", "other"):
+        own = sorted((r for r in rows if r[1] == key), key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
+        want |= {r[0]: place for place, r in enumerate(own)}
+    assert got == want
